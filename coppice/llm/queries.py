@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_classifier
+from . import exact_dedup, quality_classifier, quality_rules, secret_scan
 
 QUERIES = {
+    "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+    "rule_ablation": quality_rules.rule_ablation,
 }
 ORACLES = {
+    "op5_quality_rules": quality_rules.SQL,
+    "op8_secret_scan": secret_scan.SQL,
+    "rule_ablation": quality_rules.ABLATION_SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
