@@ -51,6 +51,11 @@ def keys_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str, row
     return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
+def sized(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """``df``, marked for broadcast only if its known number of rows is small enough."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def narrowed(docs: DataFrame, **columns: str) -> DataFrame:
     """Only the columns an operator reads, under the operator's own names, so extra columns can't clash."""
     return docs.select(*(F.col(f"`{old}`").alias(new) for new, old in columns.items()))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_classifier, quality_rules, secret_scan
+from . import exact_dedup, quality_classifier, quality_rules, secret_scan, source_mix, url_filter
 
 QUERIES = {
+    "op2_source_mix": source_mix.op2_source_mix,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -12,6 +14,7 @@ QUERIES = {
     "rule_ablation": quality_rules.rule_ablation,
 }
 ORACLES = {
+    "op4_url_filter": url_filter.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op8_secret_scan": secret_scan.SQL,
     "rule_ablation": quality_rules.ABLATION_SQL,
