@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_classifier, quality_rules, secret_scan, source_mix, url_filter
+from . import exact_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, url_filter
 
 QUERIES = {
+    "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op2_source_mix": source_mix.op2_source_mix,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_quality_rules": quality_rules.op5_quality_rules,
