@@ -93,7 +93,7 @@ class Flow:
                         queue.append(self.to[e])
             if t not in level:
                 return total
-            nexts = [iter(o) for o in self.out]
+            nexts = [0] * len(self.out)
             path: list[int] = []
             x = s
             while True:
@@ -105,26 +105,19 @@ class Flow:
                     total += amount
                     keep = next(i for i, e in enumerate(path) if not self.cap[e])
                     x = self.to[path[keep] ^ 1]
-                    again = path[keep]
                     del path[keep:]
-                    assert not self.cap[again]
                     continue
-                for e in nexts[x]:
-                    if flat(x, e) and level.get(self.to[e]) == level[x] + 1:
-                        nexts[x] = _before(e, nexts[x])
-                        path.append(e)
-                        x = self.to[e]
-                        break
-                else:
-                    if not path:
-                        break
+                arcs = self.out[x]
+                while nexts[x] < len(arcs) and not (flat(x, arcs[nexts[x]]) and level.get(self.to[arcs[nexts[x]]]) == level[x] + 1):
+                    nexts[x] += 1
+                if nexts[x] < len(arcs):
+                    path.append(arcs[nexts[x]])
+                    x = self.to[path[-1]]
+                elif path:
                     level.pop(x, None)
                     x = self.to[path.pop() ^ 1]
-
-
-def _before(first, rest):
-    yield first
-    yield from rest
+                else:
+                    break
 
 
 def route(cells: dict[tuple[str, int], int], unique: dict[str, int], quotas: dict[int, int], most: int = MAX_PASSES) -> dict:
