@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, url_filter
+from . import (
+    exact_dedup,
+    jaccard_join,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sentencepiece_codec,
+    source_mix,
+    suffix_dedup,
+    url_filter,
+)
 
 QUERIES = {
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op2_source_mix": source_mix.op2_source_mix,
     "op4_url_filter": url_filter.op4_url_filter,
