@@ -28,6 +28,8 @@ MARK = "\u2581"
 CACHED_WORDS = 500_000
 SLICE_CHARS = 8_000_000
 CACHED_PAIRS = 500_000
+#: Words of more characters than this are put together at their end.
+LONG = 256
 
 
 class Codec:
@@ -43,6 +45,7 @@ class Codec:
         self.unknown = sp.unk_id()
         self.byte_ids = {int(names[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.ids = {names[i]: i for i in range(n) if not special[i] and not sp.is_byte(i)}
+        self.codes = {p: i.to_bytes(4, "little") for p, i in [*self.ids.items(), *self.byte_ids.items(), (None, self.unknown)]}
         self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids))
         ranked = [self.scores[p] for p in sorted(self.ids, key=self.ids.get) if self.scores[p] > -1e6]
@@ -50,7 +53,8 @@ class Codec:
         self.whole = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.bytes = [b"" if special[i] else bytes([int(names[i][1:-1], 16)]) if sp.is_byte(i) else names[i].replace(MARK, " ").encode() for i in range(n)]
         self.normalizer = None if sp.normalize("\ufb01 A\u030a  x ") == f"{MARK}\ufb01{MARK}A\u030a{MARK}{MARK}x{MARK}" else model
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
 
     def marked(self, text: str) -> str:
         if self.normalizer:
@@ -79,42 +83,47 @@ class Codec:
         return parts
 
     def _apart(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
-        if known is None:
-            if len(self.pairs) > CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self._merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def _codes(self, piece: str) -> tuple[int, ...]:
-        if piece in self.ids:
-            return (self.ids[piece],)
-        if self.byte_ids:
-            return tuple(self.byte_ids[b] for b in piece.encode())
-        return (self.unknown,)
+        """Whether merging leaves these two pieces as they are."""
+        self.n_pairs += 1
+        return self._merged(left + right) == ([left, right] if left else [right])
+
+    def _code(self, piece: str) -> bytes:
+        if piece in self.codes:
+            return self.codes[piece]
+        return b"".join(self.codes[b] for b in piece.encode()) if self.byte_ids else self.codes[None]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Ids of each word as little-endian int32, for distinct words in any order."""
         out, previous = {}, ""
-        last, total = [""], [0.0]  # by prefix length: its last piece, and its score (unigram)
+        if self.n_pairs > CACHED_PAIRS:
+            self.pairs, self.n_pairs = {}, 0
+        pairs = self.pairs
+        # By prefix length: the last piece, what may follow it (BPE), and the score (unigram).
+        last, after, total = [""], [pairs.setdefault("", {})], [0.0]
+        coded = [b""]  # the ids of a prefix, for prefixes of up to LONG characters
+        codes = self.codes
         floor = min(self.scores.values(), default=0.0) - 10.0
-        ids, scores, longest, pairs = self.ids, self.scores, self.longest, self.pairs
+        ids, scores, longest = self.ids, self.scores, self.longest
         for word in sorted(words):
             shared = 0
             for a, b in zip(word, previous, strict=False):
                 if a != b:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
+            del last[shared + 1 :], after[shared + 1 :], total[shared + 1 :], coded[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 if self.merges:
-                    for begin in range(max(0, end - longest), end):
+                    for begin in range(end - 1, max(0, end - longest) - 1, -1):  # only one fits: short ones are likely
                         piece = word[begin:end]
                         if piece in ids or end - begin == 1:
-                            left = last[begin]
-                            known = pairs.get((left, piece))
-                            if self._apart(left, piece) if known is None else known:
+                            known = after[begin].get(piece)
+                            if known is None:
+                                known = after[begin][piece] = self._apart(last[begin], piece)
+                            if known:
                                 last.append(piece)
+                                after.append(pairs.setdefault(piece, {}))
+                                if end <= LONG:
+                                    coded.append(coded[begin] + (codes.get(piece) or self._code(piece)))
                                 break
                 else:
                     best = None
@@ -125,11 +134,16 @@ class Codec:
                             best = (total[begin] + score, piece)
                     total.append(best[0])
                     last.append(best[1])
-            codes, end = [], len(word)
-            while end:
-                codes.append(last[end])
-                end -= len(last[end])
-            out[word] = np.array([i for p in reversed(codes) for i in self._codes(p)], "<i4").tobytes()
+                    if end <= LONG:
+                        coded.append(coded[end - len(best[1])] + self._code(best[1]))
+            if len(word) <= LONG:
+                out[word] = coded[len(word)]
+            else:
+                pieces, end = [], len(word)
+                while end:
+                    pieces.append(self._code(last[end]))
+                    end -= len(last[end])
+                out[word] = b"".join(reversed(pieces))
             previous = word
         return out
 
