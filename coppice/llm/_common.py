@@ -68,14 +68,12 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def row_ids(batches, first_bits: int = 33):
-    """Yields (batch, int64 ids): the task's partition in the high bits, the row's place in it in the low ones.
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` written with a unique row number ``__rid``: ids may be null or repeat."""
+    return table(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
 
-    The ids are only fixed once the result is written, so callers write it with ``table`` first."""
-    import numpy as np
-    from pyspark import TaskContext
 
-    at = TaskContext.get().partitionId() << first_bits
-    for batch in batches:
-        yield batch, np.arange(at, at + batch.num_rows, dtype=np.int64)
-        at += batch.num_rows
+def entered(docs: DataFrame, id_col: str, text_col: str, rid_col: str | None, *more: str) -> DataFrame:
+    """(rid, doc_id, text): the columns that operators on texts read. A new rid is only fixed once it is written."""
+    rid = F.col(f"`{rid_col}`") if rid_col else F.monotonically_increasing_id()
+    return docs.select(rid.alias("rid"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)

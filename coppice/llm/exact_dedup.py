@@ -17,9 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import WS_BYTES, WS_CHARS, keys_join, narrowed, parts, row_ids, table, text_bytes
+from ._common import WS_BYTES, WS_CHARS, entered, keys_join, parts, table, text_bytes
 
 #: An owner decodes at most about this many rows' fingerprints at once.
 ROWS_PER_OWNER = 2_000_000
@@ -58,13 +57,11 @@ def golomb_decode(blob: bytes) -> np.ndarray:
 def _fingerprints(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch, rids in row_ids(batches):
-        digests = [hashlib.sha256(x.translate(None, WS_BYTES)) for x in text_bytes(batch.column(1))]
+    for batch in batches:
+        digests = [hashlib.sha256(x.translate(None, WS_BYTES)) for x in text_bytes(batch.column(2))]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(rids),
-                batch.column(0),
-                batch.column(1),
+                *(batch.column(i) for i in range(3)),
                 pa.array([int.from_bytes(x.digest()[:8], "little", signed=True) for x in digests], pa.int64()),
                 pa.array([x.hexdigest() for x in digests], pa.string()),
             ],
@@ -129,20 +126,18 @@ def _suspects(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rids, "<i8")[np.repeat(hit, count)])], ["rid"])
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Groups of rows whose texts are equal without white space; of each, one row stays.
 
     Returns (decisions, rows). decisions has a row for every input row, repeated ones too: rid, doc_id, keep_id,
-    group_size, kept, text_sha256. rows holds rid, doc_id and text, for joins by rid.
+    group_size, kept, text_sha256. rows holds rid, doc_id and text. rid is rid_col if given (unique), else a new number.
     The longest original text stays (in code points), then the smallest id, then the first of repeated rows;
     null ids come last. Null counts as the empty text; all empty texts form one group. Other columns are not read.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = table(
-        narrowed(docs, doc_id=id_col, text=text_col)
-        .select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(_fingerprints, "rid long, doc_id long, text string, fp long, sha string"),
+        entered(docs, id_col, text_col, rid_col).mapInArrow(_fingerprints, "rid long, doc_id long, text string, fp long, sha string"),
         "exact-rows",
     )
     owners = max(parts(spark), base.count() // ROWS_PER_OWNER + 1)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keys_join, narrowed, row_ids, table, text_bytes
+from ._common import entered, keys_join, table, text_bytes
 from ._components import components
 
 #: Counters of the frequency sketch (4 bytes each) as a power of two; its size does not depend on the input.
@@ -72,10 +72,10 @@ def _read(words: int):
 
         names = ["rid", "doc_id", "text", "n", "f1", "f2", "block", "sketch"]
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch, rids in row_ids(batches):
+        for batch in batches:
             n, f1, f2 = [], [], []
             waiting, held = [], 0
-            for text in text_bytes(batch.column(1)):
+            for text in text_bytes(batch.column(2)):
                 tokens = shingles(text, words)
                 n.append(len(tokens))
                 f1.append(mix(tokens, 1).sum(dtype=np.uint64))
@@ -88,7 +88,7 @@ def _read(words: int):
             _count(counts, waiting)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rids), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
+                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
             )
         blocks = counts.reshape(-1, 1 << _BLOCK_BITS)
         used = [i for i in range(len(blocks)) if blocks[i].any()]
@@ -186,19 +186,17 @@ class _Join:
         return table(shared.where(f"100L * i >= {self.percent}L * (s - i)").select("a", "b"), "jaccard-links")
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the links 100 * |A and B| >= percent * |A or B| between the documents' shingle sets.
 
     Returns (decisions, rows). decisions has a row for every input row, repeated ones too: rid, doc_id, n_shingles,
     component_id (smallest id of the component), kept (one row of each component: the one of the smallest id, null ids
     last). Null, empty and blank texts have an empty set and link with nothing, not even each other. Only the two
-    columns are read. rows holds rid and text. An empty table gives an empty result.
+    columns are read. rid is rid_col if given (unique), else a new number; rows holds rid and text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     base = table(
-        narrowed(docs, doc_id=id_col, text=text_col)
-        .select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(_read(words), "rid long, doc_id long, text string, n long, f1 long, f2 long, block int, sketch binary"),
+        entered(docs, id_col, text_col, rid_col).mapInArrow(_read(words), "rid long, doc_id long, text string, n long, f1 long, f2 long, block int, sketch binary"),
         "jaccard-rows",
     )
     rows = base.where("rid is not null")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     exact_dedup,
     jaccard_join,
+    line_dedup,
     quality_classifier,
     quality_rules,
     secret_scan,
@@ -15,6 +16,7 @@ from . import (
 )
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op6_jaccard_join": jaccard_join.op6_jaccard_join,
     "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
@@ -27,6 +29,7 @@ QUERIES = {
     "rule_ablation": quality_rules.rule_ablation,
 }
 ORACLES = {
+    "op1_line_dedup": line_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_quality_rules": quality_rules.SQL,
     "op8_secret_scan": secret_scan.SQL,

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import keys_join, narrowed, sized, table
+from ._common import entered, keys_join, sized, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -142,19 +142,18 @@ def route(cells: dict[tuple[str, int], int], unique: dict[str, int], quotas: dic
     return {k: flow.cap[e ^ 1] for k, e in arcs.items()}
 
 
-def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(takes, rows). takes: rid, doc_id, size, source_size, target, taken, pattern for each row, repeated rows too.
+def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed: int = SEED, rid_col: str | None = None) -> DataFrame:
+    """rid, doc_id, size, source_size, target, taken, pattern for each row, repeated rows too.
 
     taken is at most MAX_PASSES times size; it adds up to the whole part of each source's target. Null texts have no
     words and are never taken; a null source is a source of its own. Only the three columns are read. An empty table
-    gives an empty result. rows: rid and all columns of ``docs``, for joins by rid.
+    gives an empty result. rid is rid_col if given (unique), else a new number.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("__rid", F.monotonically_increasing_id())
     base = table(
-        narrowed(docs, doc_id=id_col, text=text_col, source=source_col)
-        .select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string"))
-        .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("size"), F.xxhash64("text").alias("same")),
+        entered(docs.withColumn("__source", F.col(f"`{source_col}`").cast("string")), id_col, text_col, rid_col, "__source")
+        .withColumn("text", F.coalesce("text", F.lit("")))
+        .select("rid", "doc_id", F.col("__source").alias("source"), F.regexp_count("text", F.lit(_WORDS)).cast("long").alias("size"), F.xxhash64("text").alias("same")),
         "mix-rows",
     )
     sizes = {r["source"]: r["size"] for r in base.groupBy("source").agg(F.sum("size").alias("size")).collect()}
@@ -214,9 +213,8 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     part = last.select("rid", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - before)).alias("part"))
     out = keys_join(placed, table(part, "mix-edge"), "rid", "left")
     extra = F.when(F.col("rank") < F.col("edge"), F.col("size")).otherwise(F.coalesce("part", F.lit(0)))
-    return out.select("rid", "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).cast("long").alias("taken"), "pattern"), rows
+    return out.select("rid", "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + extra).cast("long").alias("taken"), "pattern")
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
-    takes, _ = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return takes.drop("rid")
+    return mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("rid")

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keys_join, narrowed, row_ids, table, text_bytes
+from ._common import entered, keys_join, table, text_bytes
 
 LENGTH = 400
 GRAM = 32
@@ -99,11 +99,11 @@ def anchors(hasher: Hasher, size: int, length: int, gram: int) -> tuple[np.ndarr
 def _read(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch, rids in row_ids(batches):
-        raw = text_bytes(batch.column(1))
+    for batch in batches:
+        raw = text_bytes(batch.column(2))
         digests = [hashlib.sha256(x).digest() for x in raw]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rids), batch.column(0), batch.column(1), pa.array([len(x) for x in raw], pa.int64()), pa.array(digests, pa.binary())],
+            [*(batch.column(i) for i in range(3)), pa.array([len(x) for x in raw], pa.int64()), pa.array(digests, pa.binary())],
             ["rid", "doc_id", "text", "n_bytes", "digest"],
         )
 
@@ -230,9 +230,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     Rows with an equal text elsewhere have none: they repeat as a whole. rows: rid, doc_id, text, n_bytes, digest, copied.
     """
     base = table(
-        narrowed(docs, doc_id=id_col, text=text_col)
-        .select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(_read, "rid long, doc_id long, text string, n_bytes long, digest binary"),
+        entered(docs, id_col, text_col, None).mapInArrow(_read, "rid long, doc_id long, text string, n_bytes long, digest binary"),
         "suffix-rows",
     )
     classes = base.groupBy("digest").agg(F.count("*").alias("copies"), F.min("rid").alias("head")).where("copies > 1")
