@@ -203,7 +203,7 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = MODEL, drop: tu
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sizes), lists], [*(f.name for f in kept), "n_tokens", "ids"])
 
-    return docs.mapInArrow(run, StructType(kept).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())))
+    return docs.mapInArrow(run, StructType([*kept]).add("n_tokens", LongType()).add("ids", ArrayType(IntegerType())))
 
 
 def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
