@@ -143,62 +143,44 @@ def _first_nodes(length: int, gram: int):
     return run
 
 
-def _rank(*parts) -> bytes:
-    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
-
-
-def _contexts(length: int):
-    """The bytes that an anchor's windows cover, for each anchor in a document's list."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            for rid, text, places in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                view = memoryview(text)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([rid] * len(places), pa.int64()),
-                        *(pa.array([p[k] for p in places], pa.int64()) for k in ("at", "lo", "hi")),
-                        pa.array([bytes(view[p["at"] - p["hi"] : p["at"] + length - p["lo"]]) for p in places], pa.binary()),
-                    ],
-                    ["rid", "at", "lo", "hi", "context"],
-                )
-
-    return run
+def _ranks(*parts) -> tuple[int, int]:
+    digest = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def _next_nodes(length: int):
-    """Ranks of an anchor's open and witnessing nodes, from the bytes around it."""
+    """Ranks of a document's open and witnessing nodes, from the bytes around their anchors."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for rid, at, lo, hi, context, nodes in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                for node in nodes:
-                    x, y = node["x"], node["y"]
-                    left, right = min(hi, y), max(lo, x)
-                    core = _rank(context[hi - x : hi + length - y])
-                    hull = core if x == y else _rank(b"%d %d " % (left, right), context[hi - left : hi + length - right])
-                    out.append((rid, at, lo, hi, x, y, node["done"], core, hull))
-            columns = list(zip(*out, strict=True)) or [()] * 9
-            kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary(), pa.binary()]
-            names = ["rid", "at", "lo", "hi", "x", "y", "done", "core", "hull"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for rid, text, nodes in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), strict=True):
+                view, out = memoryview(text), []
+                columns = [nodes.values.field(k).to_pylist() for k in range(6)]
+                for at, lo, hi, x, y, done in zip(*columns, strict=True):
+                    left, right = min(hi, y), length - max(lo, x)
+                    core = _ranks(view[at - x : at + length - y])
+                    hull = core if x == y else _ranks(b"%d %d " % (left, right), view[at - left : at + right])
+                    out.append((rid, at, lo, hi, x, y, done, core[0], *hull))
+                kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.int64()] * 3
+                names = ["rid", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _judged(nodes: DataFrame, hull: list[str]) -> DataFrame:
-    """The nodes that share their core with another anchor, one of them open; ``done`` now tells which repeat."""
+def _judged(nodes: DataFrame) -> DataFrame:
+    """The nodes that share their core with another anchor, one of them open. ``shared``: the hull is shared, too, so
+    all windows repeat; one anchor of each shared hull goes on as its ``witness``, and so do the nodes that don't."""
     cores = nodes.groupBy("x", "core").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 and open > 0").select("x", "core")
     alive = table(nodes.join(cores, ["x", "core"]), "suffix-alive")
-    hulls = alive.groupBy("x", *hull).agg(F.count("*").alias("n")).where("n > 1").select("x", *hull, F.lit(True).alias("shared"))
-    return table(
-        alive.join(hulls, ["x", *hull], "left").select("rid", "at", "lo", "hi", "x", "y", "done", F.coalesce("shared", F.lit(False)).alias("shared")), "suffix-nodes"
+    hulls = alive.groupBy("x", "hull", "hull2").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "at")).alias("witness")).where("n > 1").drop("n")
+    shared = F.col("witness").isNotNull()
+    out = alive.join(hulls, ["x", "hull", "hull2"], "left").select(
+        "rid", "at", "lo", "hi", "x", "y", "done", shared.alias("shared"), (~shared | (F.col("witness") == F.xxhash64("rid", "at"))).alias("witness")
     )
+    return table(out, "suffix-nodes")
 
 
 def _cut(length: int):
@@ -241,23 +223,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     named = "rid long, at long, lo long, hi long, x long, y long, core long, hull long, hull2 long"
     first = table(heads.select("rid", "text").mapInArrow(_first_nodes(length, gram), named), "suffix-first")
     first = keys_join(first, copied.select("rid", F.lit(True).alias("done")), "rid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    nodes = _judged(first, ["hull", "hull2"])
-    spans = [nodes]
+    nodes = _judged(first)
+    spans, texts = [nodes], None
     width = (length - gram) // 2 + 1
-    contexts = None
     while width > 1:
         width = -(-width // SPLIT)
-        child = nodes.select("rid", "at", "lo", "hi", "y", (F.col("done") | F.col("shared")).alias("done"), F.explode(F.sequence("x", "y", F.lit(width).cast("long"))).alias("x"))
-        child = child.select("rid", "at", "lo", "hi", "done", "x", F.least(F.col("x") + width - 1, "y").alias("y")).where("x <= hi and y >= lo")
-        pending = child.groupBy("rid", "at").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.collect_list(F.struct("x", "y", "done")).alias("nodes"))
-        pending = table(pending, "suffix-pending")
-        if contexts is None:
-            places = table(pending.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("places")), "suffix-places")
-            texts = keys_join(heads.select("rid", "text"), places.select("rid"), "rid", "left_semi").join(places, "rid")
-            contexts = table(texts.select("rid", "text", "places").mapInArrow(_contexts(length), "rid long, at long, lo long, hi long, context binary"), "suffix-contexts")
-        joined = contexts.join(pending.select("rid", "at", "nodes"), ["rid", "at"]).select("rid", "at", "lo", "hi", "context", "nodes")
-        ranked = table(joined.mapInArrow(_next_nodes(length), "rid long, at long, lo long, hi long, x long, y long, done boolean, core binary, hull binary"), "suffix-ranks")
-        nodes = _judged(ranked, ["hull"])
+        step = F.explode(F.sequence("x", "y", F.lit(width).cast("long"))).alias("x")
+        child = nodes.where("witness").select("rid", "at", "lo", "hi", "y", (F.col("done") | F.col("shared")).alias("done"), step)
+        child = child.withColumn("y", F.least(F.col("x") + width - 1, "y")).where("x <= hi and y >= lo")
+        pending = table(child.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi", "x", "y", "done")).alias("nodes")), "suffix-pending")
+        if texts is None:  # only the documents that may hold a repeat go on
+            texts = table(keys_join(heads.select("rid", "text"), pending.select("rid"), "rid", "left_semi"), "suffix-texts")
+        named = "rid long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long"
+        ranked = texts.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(length), named)
+        nodes = _judged(table(ranked, "suffix-ranks"))
         spans.append(nodes)
     out = None
     for s in spans:
