@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.binning import finite
 
@@ -27,7 +28,7 @@ def quantile_edges(cells: DataFrame, group: list[str], value: str, n_bins: int,
     spark = cells.sparkSession
     views = [-1, *range(k)] if fold else [-1]
     if n_bins < 2:
-        return spark.createDataFrame([], cells.select(*group).schema.add("view", "integer").add("edges", "array<double>"))
+        return spark.createDataFrame([], StructType([*cells.select(*group).schema.fields, StructField("view", IntegerType()), StructField("edges", ArrayType(DoubleType()))]))
     rows = cells.select(*group, finite(F.col(value)).alias("_v"), *([F.col(fold).alias("_f")] if fold else [])).where("_v is not null")
     cuts = rows.groupBy(*group).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
     ranged = rows.join(F.broadcast(cuts), group).withColumn("_r", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
