@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The largest category id; the next one is the reference point for "unknown".
+#: The largest category id; larger values count as unknown.
 MAX_CATEGORY = 4294967294
 
 

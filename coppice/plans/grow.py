@@ -190,7 +190,7 @@ class Grower:
                         n.left = n.right = None
                         n.key = -1
                 leaves = [n for n in preorder(root) if n.is_leaf and n.key >= 0]
-                opened = [n for n in leaves if n.n_samples >= max(p.min_samples_split, 2) and (p.max_depth is None or n.depth < p.max_depth) and not getattr(n, "pure", True)]
+                opened = [n for n in leaves if n.n_samples >= max(p.min_samples_split, 2) and (p.max_depth is None or n.depth < p.max_depth) and not n.pure]
                 for n in leaves:
                     if n not in opened:
                         n.key = -1

@@ -31,7 +31,8 @@ class Node:
     left: Node | None = None
     right: Node | None = None
     depth: int = 0
-    key: int = 0  # while growing
+    key: int = 0  # while growing: the number of an open leaf, -1 for finished nodes
+    pure: bool = True  # while growing: whether all targets are equal
 
     @property
     def is_leaf(self) -> bool:

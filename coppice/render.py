@@ -8,6 +8,13 @@ from collections.abc import Sequence
 from .plans.nodes import Node, preorder
 
 
+# Fixed values of the output format: node and edge styles, the fill of leaves, the text of an empty tree.
+NODE_STYLE = 'node [shape=box, style="rounded,filled", fontname=helvetica, fillcolor="#f5f5f5"] ;'
+EDGE_STYLE = "edge [fontname=helvetica] ;"
+LEAF_FILL = "#e8f4ea"
+EMPTY = "(empty tree)"
+
+
 def _name(node: Node, names: Sequence[str] | None) -> str:
     return str(names[node.feature]) if names is not None and node.feature < len(names) else f"x[{node.feature}]"
 
@@ -34,7 +41,7 @@ def leaf_text(node: Node, classes: Sequence | None = None) -> str:
 
 def export_text(root: Node | None, feature_names: Sequence[str] | None = None, class_names: Sequence | None = None, indent: str = "  ") -> str:
     if root is None:
-        return "(empty tree)"
+        return EMPTY
     lines, stack = [], [(root, "")]
     while stack:
         item, pad = stack.pop()
@@ -56,14 +63,13 @@ def _quoted(text: str) -> str:
 def export_graphviz(root: Node | None, feature_names: Sequence[str] | None = None, class_names: Sequence | None = None, name: str = "Tree") -> str:
     nodes = preorder(root)
     at = {id(n): i for i, n in enumerate(nodes)}
-    body = [] if nodes else ['  empty [label="(empty tree)"] ;']
+    body = [] if nodes else [f"  empty [label={_quoted(EMPTY)}] ;"]
     for i, n in enumerate(nodes):
         if n.is_leaf:
-            body.append(f'  {i} [label={_quoted(leaf_text(n, class_names))}, fillcolor="#e8f4ea"] ;')
+            body.append(f'  {i} [label={_quoted(leaf_text(n, class_names))}, fillcolor="{LEAF_FILL}"] ;')
         else:
             body.append(f"  {i} [label={_quoted(f'{condition_text(n, feature_names)}\\nn={n.n_samples}')}] ;".replace("\\\\n", "\\n"))
     for i, n in enumerate(nodes):
         if not n.is_leaf:
             body += [f'  {i} -> {at[id(n.left)]} [label="true"] ;', f'  {i} -> {at[id(n.right)]} [label="false"] ;']
-    style = ['  node [shape=box, style="rounded,filled", fontname=helvetica, fillcolor="#f5f5f5"] ;', "  edge [fontname=helvetica] ;"]
-    return "\n".join([f"digraph {name} {{", *style, *body, "}"])
+    return "\n".join([f"digraph {name} {{", f"  {NODE_STYLE}", f"  {EDGE_STYLE}", *body, "}"])
