@@ -25,8 +25,10 @@ from ._common import entered, keys_join, table, text_bytes
 from ._components import components
 
 #: Counters of the frequency sketch (4 bytes each) as a power of two; its size does not depend on the input.
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 _BLOCK_BITS = 18
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 16
 
 _RNG = np.random.default_rng(23)
 _CHARS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,6 +66,15 @@ def prefix_length(n: int, percent: int) -> int:
     return n + percent * n // -100 + 1
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each bit: two sets differ in at least as many tokens as bits."""
+    place = mix(tokens, 7)
+    word = (place % np.uint64(BITMAP_WORDS)).astype(np.int64)
+    out = np.zeros(BITMAP_WORDS, np.uint64)
+    np.bitwise_xor.at(out, word, np.uint64(1) << (place >> np.uint64(58)))
+    return out.view(np.int64)
+
+
 def _read(words: int):
     """Each document's row, then the task's sketch in blocks (rows without rid)."""
 
@@ -119,7 +130,8 @@ def _levels(base: DataFrame) -> np.ndarray:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in sums.toLocalIterator():
         counts[row["block"] << _BLOCK_BITS : (row["block"] + 1) << _BLOCK_BITS] = np.frombuffer(zlib.decompress(row["sketch"]), np.int64)
-    return np.log2(np.maximum(1.0, counts / (2 * counts.mean() + 8))).astype(np.uint8)
+    noise = 2 * counts.mean() ** 0.5 + 2
+    return np.log2(np.maximum(1.0, 2 * (counts - counts.mean()) / noise)).astype(np.uint8)
 
 
 def ordered_prefixes(tokens: np.ndarray, levels: np.ndarray, length: int) -> list[np.ndarray]:
@@ -144,46 +156,74 @@ def _prefixes(words: int, percent: int, levels):
                 if len(tokens) * (100 - percent) >= percent:  # smaller sets can only link to equal ones
                     first, *others = ordered_prefixes(tokens, level, prefix_length(len(tokens), percent))
                     rids.append(rid)
-                    rows.append((len(tokens), first.view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in others)))
-            n, first, second, third = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rids, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32())), pa.array(third, pa.list_(pa.int32()))],
-                ["rid", "n", "p1", "p2", "p3"],
-            )
+                    rows.append((len(tokens), *bitmap(tokens).tolist(), first.view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in others)))
+            columns = list(zip(*rows, strict=True)) or [()] * (BITMAP_WORDS + 4)
+            kinds = [pa.int64()] * (BITMAP_WORDS + 1) + [pa.list_(pa.int64())] + [pa.list_(pa.int32())] * 2
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), *arrays], ["rid", "n", *BITS, "p1", "p2", "p3"])
 
     return run
 
 
-def _sets(words: int):
+BITS = [f"m{i}" for i in range(BITMAP_WORDS)]
+
+
+def _linked(words: int, percent: int, held: int = 256):
+    """The pairs whose sets are similar enough. Recent documents' sets are kept, as pairs come sorted by one side."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        cache: dict[int, np.ndarray] = {}
+
+        def tokens(rid: int, text: bytes) -> np.ndarray:
+            if rid not in cache:
+                if len(cache) >= held:
+                    cache.pop(next(iter(cache)))
+                cache[rid] = shingles(text, words)
+            return cache[rid]
+
         for batch in batches:
-            sets = [shingles(x, words).view(np.int64) for x in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "tokens"])
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            keep = []
+            for x, s, y, t in zip(a, text_bytes(batch.column(1)), b, text_bytes(batch.column(3)), strict=True):
+                one, two = tokens(x, s), tokens(y, t)
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(100 * both >= percent * (len(one) + len(two) - both))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["a", "b"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 class _Join:
-    def __init__(self, base: DataFrame, words: int, percent: int):
-        self.base, self.words, self.percent = base, words, percent
+    def __init__(self, rows: DataFrame, index: DataFrame, words: int, percent: int):
+        self.rows, self.index, self.words, self.percent = rows, index, words, percent
+
+    def near(self) -> str:
+        """Over n_a, n_b and the bitmaps: sizes and parities that a link allows. |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)."""
+        p = self.percent
+        differ = " + ".join(f"bit_count({m}_a ^ {m}_b)" for m in BITS)
+        return f"100L * least(n_a, n_b) >= {p}L * greatest(n_a, n_b) and {100 + p}L * ({differ}) <= {100 - p}L * (n_a + n_b)"
 
-    def filtered(self, pairs: DataFrame, index: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) that share a prefix token under the other orders, too, and are near in size."""
-        side = lambda c: index.select(F.col("rid").alias(c), *(F.col(x).alias(f"{x}{c}") for x in ("n", "p2", "p3")))
-        both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-        near = F.expr(f"100L * least(na, nb) >= {self.percent}L * greatest(na, nb)")
-        return table(both.where(near & F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b"), "jaccard-pairs")
+    def side(self, c: str, key: str, *names: str) -> DataFrame:
+        return self.index.select(F.col("rid").alias(key), *(F.col(x).alias(f"{x}_{c}") for x in names)).hint("merge")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
+        """The links among candidate pairs (a, b), which must share a prefix token under the other orders, too."""
+        pairs = table(pairs.distinct(), "jaccard-pairs")
         ids = table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids")
-        texts = keys_join(self.base.where("rid is not null").select("rid", "text"), ids, "rid", "left_semi")
-        sets = table(texts.mapInArrow(_sets(self.words), "rid long, tokens array<bigint>"), "jaccard-sets")
-        side = lambda c: sets.select(F.col("rid").alias(c), F.col("tokens").alias(f"t{c}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a")
-        shared = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("i"), (F.size("ta") + F.size("tb")).cast("long").alias("s"))
-        return table(shared.where(f"100L * i >= {self.percent}L * (s - i)").select("a", "b"), "jaccard-links")
+        left = pairs
+        for p in ("p2", "p3"):
+            order = keys_join(self.index.select("rid", p), ids, "rid", "left_semi").hint("merge")
+            both = left.join(order.select(F.col("rid").alias("a"), F.col(p).alias("pa")), "a").join(order.select(F.col("rid").alias("b"), F.col(p).alias("pb")), "b")
+            left = both.where(F.arrays_overlap("pa", "pb")).select("a", "b")
+        left = table(left, "jaccard-left")
+        ids = table(left.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids")
+        texts = keys_join(self.rows.select("rid", "text"), ids, "rid", "left_semi")
+        text = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+        full = left.join(text("b"), "b").join(text("a"), "a").select("a", "text_a", "b", "text_b")
+        return table(full.mapInArrow(_linked(self.words, self.percent), "a long, b long"), "jaccard-links")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -200,27 +240,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
         "jaccard-rows",
     )
     rows = base.where("rid is not null")
-    join = _Join(base, words, percent)
     classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("class"))
     member = table(rows.select("rid", "doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("rid", "doc_id", "n", F.coalesce("class", "rid").alias("class")), "jaccard-classes")
     copies = table(member.where("rid <> class").select("rid"), "jaccard-copies")
     levels = spark.sparkContext.broadcast(_levels(base))  # one byte for each counter: 4 MB, whatever the input
     firsts = keys_join(rows.where("n > 0").select("rid", "text"), copies, "rid", "left_anti")
-    index = table(firsts.mapInArrow(_prefixes(words, percent, levels), "rid long, n long, p1 array<bigint>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
+    index = table(firsts.mapInArrow(_prefixes(words, percent, levels), f"rid long, n long, {', '.join(f'{m} long' for m in BITS)}, p1 array<bigint>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
     keys = index.select("rid", F.explode("p1").alias("key"))
     groups = keys.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
     shared = table(keys.join(groups, "key"), "jaccard-shared")
-    stars = join.filtered(shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")), index)
-    links = join.verified(stars)
+    join = _Join(rows, index, words, percent)
+    stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
+    stars = stars.join(join.side("a", "a", "n"), "a").join(join.side("b", "b", "n"), "b").where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
+    stars = stars.join(join.side("a", "a", *BITS), "a").join(join.side("b", "b", *BITS), "b").where(join.near())
+    links = join.verified(stars.select("a", "b"))
     tree = components(links)
     placed = shared.join(tree.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    placed = table(placed.join(index.select("rid", "n"), "rid"), "jaccard-placed")
+    placed = table(placed, "jaccard-placed")
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.where("rid <> head").join(mixed, "key")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "root", "n"))) for s in "ab")
-    near = F.expr(f"rid_a < rid_b and root_a <> root_b and 100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-    across = left.join(right, "key").where(near).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
-    more = join.verified(join.filtered(across, index))
+    rest = placed.where("rid <> head").join(mixed, "key").select("key", "rid", "root")
+    rest = table(rest.join(join.index.select("rid", "n", *BITS), "rid"), "jaccard-rest")
+    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "root", "n", *BITS))) for s in "ab")
+    across = left.join(right, "key").where(F.expr(f"rid_a < rid_b and root_a <> root_b and {join.near()}"))
+    more = join.verified(across.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")))
     roots = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     of = member.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     of = table(of.select("rid", "doc_id", "n", "root"), "jaccard-roots")
