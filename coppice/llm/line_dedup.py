@@ -35,14 +35,14 @@ def _key(*parts) -> Column:
 
 
 def _halves(line: Column, n: Column) -> Column:
-    """Keys of a line's halves, as the longer line of a pair and as the shorter one of a pair with a line of n + 1."""
+    """Keys of a line's halves: head and tail as the longer line of a pair (or of equal length), then head and tail as
+    the shorter one of a pair with a line of n + 1."""
     m, k = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
-    row = lambda role, side, key: F.struct(F.lit(role).alias("role"), F.lit(side).alias("side"), key.alias("key"))
     return F.array(
-        row("long", "head", _key(n, F.lit("head"), F.substring(line, F.lit(1), m))),
-        row("long", "tail", _key(n, F.lit("tail"), F.substring(line, m + 1, n))),
-        row("short", "head", _key(n + 1, F.lit("head"), F.substring(line, F.lit(1), k))),
-        row("short", "tail", _key(n + 1, F.lit("tail"), F.substring(line, k, n))),
+        _key(n, F.lit("head"), F.substring(line, F.lit(1), m)),
+        _key(n, F.lit("tail"), F.substring(line, m + 1, n)),
+        _key(n + 1, F.lit("head"), F.substring(line, F.lit(1), k)),
+        _key(n + 1, F.lit("tail"), F.substring(line, k, n)),
     )
 
 
@@ -57,8 +57,9 @@ def _order(prefix: str = "") -> Column:
 
 def _near(forms: DataFrame, base: DataFrame) -> DataFrame:
     """(h, h2) of the forms that are one edit from a form that comes earlier."""
-    halves = forms.where(F.col("n") >= NEAR_CHARS).select("h", "h2", "first", F.explode("halves").alias("half")).select("h", "h2", "first", "half.*")
-    halves = table(_repeated(halves, "key"), "line-halves")
+    halves = forms.where("halves is not null").select("h", "h2", "first", F.posexplode("halves").alias("half", "key"))
+    shared = halves.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    halves = table(keys_join(halves, table(shared, "line-half-keys"), "key", "left_semi"), "line-halves")
     homes = table(halves.select(F.col("first.rid").alias("rid"), F.col("first.no").alias("no")).distinct(), "line-homes")
     rids = table(homes.select("rid").distinct(), "line-home-rows")
     texts = keys_join(base.select("rid", "doc_id", "text"), rids, "rid", "left_semi")
@@ -68,13 +69,9 @@ def _near(forms: DataFrame, base: DataFrame) -> DataFrame:
     n = F.length("line")
     m, k = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
     # The half that may hold the edit: the one that the shared key does not cover.
-    part = (
-        F.when((F.col("role") == "long") & (F.col("side") == "head"), F.substring("line", m + 1, n))
-        .when(F.col("role") == "long", F.substring("line", F.lit(1), m))
-        .when(F.col("side") == "head", F.substring("line", k + 1, n))
-        .otherwise(F.substring("line", F.lit(1), k - 1))
-    )
-    short = F.when(F.col("role") == "short", 1).otherwise(0)
+    half = [F.substring("line", m + 1, n), F.substring("line", F.lit(1), m), F.substring("line", k + 1, n), F.substring("line", F.lit(1), k - 1)]
+    part = F.when(F.col("half") == 0, half[0]).when(F.col("half") == 1, half[1]).when(F.col("half") == 2, half[2]).otherwise(half[3])
+    short = F.when(F.col("half") >= 2, 1).otherwise(0)
     parts = known.select("h", "h2", "first", "key", short.alias("short"), part.alias("part")).withColumn("size", F.length("part") + F.col("short"))
     chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / CHUNK).cast("int"))).alias("j")
     cut = parts.where("size > 0").select("h", "h2", "first", "key", "short", "part", "size", chunk)
@@ -105,18 +102,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         narrowed(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "line-rows"
     )
     lines = _lines(base).select("rid", "doc_id", "no", _key("line").alias("h"), _key("line", F.lit(1)).alias("h2"), "line")
-    sized = lines.withColumn("n", F.length("line"))
+    measured = lines.withColumn("n", F.length("line"))
     halves = F.when(F.col("n") >= NEAR_CHARS, _halves(F.col("line"), F.col("n")))
     # Equal lines meet on the map side first; only hashes are shuffled, never the lines.
-    forms = sized.select("rid", "doc_id", "no", "h", "h2", "n", halves.alias("halves")).groupBy("h", "h2")
-    forms = table(forms.agg(F.min(F.struct(_order().alias("first"), "n", "halves")).alias("f"), F.count("*").alias("copies")).select("h", "h2", "copies", "f.*"), "line-forms")
+    forms = measured.select("rid", "doc_id", "no", "h", "h2", halves.alias("halves")).groupBy("h", "h2")
+    forms = table(forms.agg(F.min(_order()).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "line-forms")
     near = table(_near(forms, base), "line-near")
     hit = keys_join(forms.select("h", "h2", "first", "copies"), near, ["h", "h2"], "left").where("near or copies > 1")
     hit = table(hit.select("h", "h2", F.coalesce("near", F.lit(False)).alias("near"), F.col("first.rid").alias("first_rid"), F.col("first.no").alias("first_no")), "line-hits")
-    gone = keys_join(lines.select("rid", "no", "h", "h2"), hit, ["h", "h2"], "inner", 48)
+    gone = lines.select("rid", "no", "h", "h2").join(hit, ["h", "h2"])
     exact = (F.col("rid") != F.col("first_rid")) | (F.col("no") != F.col("first_no"))
     gone = gone.where(exact | F.col("near")).groupBy("rid").agg(F.collect_list("no").alias("gone"), F.count_if(exact).alias("n_exact"), F.count_if(~exact).alias("n_near"))
-    split = base.join(gone, "rid", "left").select("doc_id", "text", F.split("text", "\n").alias("lines"), "gone", "n_exact", "n_near")
+    gone = table(gone, "line-gone")
+    split = base.join(gone.hint("merge"), "rid", "left").select("doc_id", "text", F.split("text", "\n").alias("lines"), "gone", "n_exact", "n_near")
     stay = split.select("doc_id", "text", "lines", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone").alias("stay"), "gone", "n_exact", "n_near")
     kept = F.array_join(F.transform("stay", lambda i: F.get("lines", i)), "\n")
     return stay.select(
