@@ -52,9 +52,9 @@ def test_classifier_matches_model(spark, case):
     classes = 3 if case.get("average") else 2
     rows = data(classes=classes, seed=len(str(case)))
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, a double, b double, c double, label int")
-    want = fit([r[:3] for r in rows], [r[3] for r in rows], categorical=(2,), k_classes=classes, max_depth=3, n_bins=6, folds=4, **case)
+    want = fit([r[:3] for r in rows], [r[3] for r in rows], categorical=(2,), k_classes=classes, max_depth=2, n_bins=6, folds=4, **case)
     names = {"style": "splitStyle", "how": "aggregator", "min_leaf": "minSamplesLeaf"}
-    est = TreeClassifier(featuresCols=["a", "b", "c"], categoricalFeatures=[2], idCol="id", maxDepth=3, nBins=6, cvFolds=4, **{names.get(k, k): v for k, v in case.items()})
+    est = TreeClassifier(featuresCols=["a", "b", "c"], categoricalFeatures=[2], idCol="id", maxDepth=2, nBins=6, cvFolds=4, **{names.get(k, k): v for k, v in case.items()})
     model = est.fit(df.repartition(3))
     assert want == shape(model.root, True)
 
