@@ -117,8 +117,8 @@ _add(
 # ---------------------------------------------------------------- folds
 
 
-def _folded(spark, d, k=K, shuffle=True, node=F.lit(0)):
-    return folds.assign_folds(lineitem_rows(spark, d).withColumn("node", node), k, SEED, shuffle)
+def _folded(spark, d, k=K, shuffle=True, node="0"):
+    return folds.assign_folds(lineitem_rows(spark, d).withColumn("node", F.expr(node)), k, SEED, shuffle)
 
 
 def _folds_sql(k=K, shuffle=True, node="0", source="rows"):
@@ -130,7 +130,7 @@ _FOLD_OUT = lambda df: df.select("row_id", F.col("node").cast("long").alias("nod
 _FOLD_SQL = " SELECT row_id, CAST(node AS BIGINT) AS node, CAST(fold AS BIGINT) AS fold FROM folded"
 _add("kfold_shuffled", lambda s, d: _FOLD_OUT(_folded(s, d)), f"WITH {LINEITEM_SQL}, {_folds_sql()}" + _FOLD_SQL)
 _add("kfold_ordered", lambda s, d: _FOLD_OUT(_folded(s, d, shuffle=False)), f"WITH {LINEITEM_SQL}, {_folds_sql(shuffle=False)}" + _FOLD_SQL)
-_add("kfold_by_node", lambda s, d: _FOLD_OUT(_folded(s, d, 7, node=F.col("flag"))), f"WITH {LINEITEM_SQL}, {_folds_sql(7, node='flag')}" + _FOLD_SQL)
+_add("kfold_by_node", lambda s, d: _FOLD_OUT(_folded(s, d, 7, node="flag")), f"WITH {LINEITEM_SQL}, {_folds_sql(7, node='flag')}" + _FOLD_SQL)
 
 
 def _small(spark, d):
