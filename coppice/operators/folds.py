@@ -33,7 +33,10 @@ def _splitters(rows: DataFrame, row_id: str) -> list:
 
 
 def assign_folds(rows: DataFrame, k: int = 5, seed: int = 42, shuffle: bool = True, node: str = "node", row_id: str = "row_id") -> DataFrame:
-    """``rows`` with ``fold``, an integer from 0. Nodes of fewer than k rows have a fold for each row."""
+    """``rows`` with ``fold``, an integer from 0. Nodes of fewer than k rows have a fold for each row.
+
+    What is broadcast has a row for each node, or for each of its k - 1 block starts: its size is that of a tree's level.
+    """
     if k < 1:
         raise ValueError("k must be positive")
     sizes = rows.groupBy(node).agg(F.count("*").alias("_n"))

@@ -23,7 +23,8 @@ RANGES = 64
 def quantile_edges(cells: DataFrame, group: list[str], value: str, n_bins: int, fold: str | None = None, k: int = 0, ranges: int = RANGES) -> DataFrame:
     """(group, view, edges): view -1 is over all rows, view f over the rows outside fold f.
 
-    Groups without a finite value, and n_bins < 2, give no row: their edges are empty.
+    Groups without a finite value, and n_bins < 2, give no row: their edges are empty. What is broadcast has at most
+    ``ranges`` numbers for each group; groups are nodes and features, not data.
     """
     spark = cells.sparkSession
     views = [-1, *range(k)] if fold else [-1]
