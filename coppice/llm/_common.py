@@ -19,6 +19,7 @@ WS_BYTES = WS_CHARS.encode()
 BROADCAST_BYTES = 8 << 20
 
 _local_root: str | None = None
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +39,20 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(docs: DataFrame) -> None:
+    """Delete the tables written so far, but for those that ``docs`` reads: a stage's input is written before it starts."""
+    spark = docs.sparkSession
+    used = docs.inputFiles()
+    for path in [p for p in _written if not any(p.rpartition("/")[2] in f for f in used)]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _written.remove(path)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
