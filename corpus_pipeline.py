@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm._common import WS_CLASS, keys_join, numbered, table
+from coppice.llm._common import WS_CLASS, keys_join, numbered, release, table
 from coppice.llm.exact_dedup import exact_dedup
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.quality_classifier import keep_good
@@ -29,18 +29,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space."""
+    release(docs)
     rows = numbered(docs)
     return _staying(rows, exact_dedup(rows, rid_col="__rid")[0])
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; texts without words all stay."""
+    release(docs)
     rows = numbered(docs)
     return _staying(rows, jaccard_components(rows, words=5, percent=80, rid_col="__rid")[0])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole pass over a document, and a shortened one where a source's target ends inside it."""
+    release(docs)
     rows = numbered(docs)
     takes = mix_sources(rows, rid_col="__rid").where("taken > 0")
     takes = takes.select(F.col("rid").alias("__rid"), F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))).alias("__pass"), "size", "taken")
@@ -56,6 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text."""
+    release(docs)
     return encode(docs, drop=("text",))
 
 
