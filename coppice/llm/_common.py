@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -19,7 +20,9 @@ WS_BYTES = WS_CHARS.encode()
 BROADCAST_BYTES = 8 << 20
 
 _local_root: str | None = None
-_written: list[str] = []
+#: Paths of the tables written inside a ``scratch`` block; None outside.
+_recorded: list[str] | None = None
+_scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,18 +42,28 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(docs: DataFrame) -> None:
-    """Delete the tables written so far, but for those that ``docs`` reads: a stage's input is written before it starts."""
+@contextlib.contextmanager
+def scratch(docs: DataFrame):
+    """Records the tables written inside; those of the block before are deleted first, but for any that ``docs`` reads.
+
+    For stages whose results are written before the next one starts. Tables written outside such blocks stay."""
+    global _recorded, _scratch
     spark = docs.sparkSession
     used = docs.inputFiles()
-    for path in [p for p in _written if not any(p.rpartition("/")[2] in f for f in used)]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _written.remove(path)
+    for path in _scratch:
+        if not any(path.rpartition("/")[2] in f for f in used):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _scratch = _recorded = []
+    try:
+        yield
+    finally:
+        _recorded = None
 
 
 def parts(spark: SparkSession) -> int:
