@@ -6,10 +6,12 @@ mix repeats documents (a row for each pass) and cuts at most one document of eac
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coppice.llm._common import WS_CLASS, keys_join, numbered, release, table
+from coppice.llm._common import WS_CLASS, keys_join, numbered, scratch, table
 from coppice.llm.exact_dedup import exact_dedup
 from coppice.llm.jaccard_join import jaccard_components
 from coppice.llm.quality_classifier import keep_good
@@ -17,33 +19,45 @@ from coppice.llm.sentencepiece_codec import encode
 from coppice.llm.source_mix import mix_sources
 
 
+def _stage(f):
+    """A stage's input is written, so the tables that the stage before it made can go when it starts."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scratch(docs):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
 def _staying(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     kept = table(decisions.where("kept").select(F.col("rid").alias("__rid")), "kept")
     return keys_join(rows, kept, "__rid", "left_semi").drop("__rid")
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space."""
-    release(docs)
     rows = numbered(docs)
     return _staying(rows, exact_dedup(rows, rid_col="__rid")[0])
 
 
+@_stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates; texts without words all stay."""
-    release(docs)
     rows = numbered(docs)
     return _staying(rows, jaccard_components(rows, words=5, percent=80, rid_col="__rid")[0])
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each whole pass over a document, and a shortened one where a source's target ends inside it."""
-    release(docs)
     rows = numbered(docs)
     takes = mix_sources(rows, rid_col="__rid").where("taken > 0")
     takes = takes.select(F.col("rid").alias("__rid"), F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")))).alias("__pass"), "size", "taken")
@@ -57,9 +71,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in place of the text."""
-    release(docs)
     return encode(docs, drop=("text",))
 
 
