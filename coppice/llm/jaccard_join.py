@@ -25,7 +25,7 @@ from ._common import entered, keys_join, table, text_bytes
 from ._components import components
 
 #: Counters of the frequency sketch (4 bytes each) as a power of two; its size does not depend on the input.
-SKETCH_BITS = 21
+SKETCH_BITS = 22
 _BLOCK_BITS = 18
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 16
@@ -81,7 +81,7 @@ def _read(words: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["rid", "doc_id", "text", "n", "f1", "f2", "block", "sketch"]
+        names = ["rid", "doc_id", "n", "f1", "f2", "block", "sketch"]
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             n, f1, f2 = [], [], []
@@ -99,11 +99,11 @@ def _read(words: int):
             _count(counts, waiting)
             m = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names
             )
         blocks = counts.reshape(-1, 1 << _BLOCK_BITS)
         used = [i for i in range(len(blocks)) if blocks[i].any()]
-        empty = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())]
+        empty = [pa.nulls(len(used), t) for t in [pa.int64()] * 5]
         yield pa.RecordBatch.from_arrays([*empty, pa.array(used, pa.int32()), pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in used], pa.binary())], names)
 
     return run
@@ -130,7 +130,7 @@ def _levels(base: DataFrame) -> np.ndarray:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for row in sums.toLocalIterator():
         counts[row["block"] << _BLOCK_BITS : (row["block"] + 1) << _BLOCK_BITS] = np.frombuffer(zlib.decompress(row["sketch"]), np.int64)
-    noise = 2 * counts.mean() ** 0.5 + 2
+    noise = counts.mean() ** 0.5 + 1
     return np.log2(np.maximum(1.0, 2 * (counts - counts.mean()) / noise)).astype(np.uint8)
 
 
@@ -153,7 +153,7 @@ def _prefixes(words: int, percent: int, levels):
             rids, rows = [], []
             for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 tokens = shingles(text, words)
-                if len(tokens) * (100 - percent) >= percent:  # smaller sets can only link to equal ones
+                if len(tokens) and len(tokens) * (100 - percent) >= percent:  # smaller sets can only link to equal ones
                     first, *others = ordered_prefixes(tokens, level, prefix_length(len(tokens), percent))
                     rids.append(rid)
                     rows.append((len(tokens), *bitmap(tokens).tolist(), first.view(np.int64), *(x.astype(np.uint32).view(np.int32) for x in others)))
@@ -197,8 +197,8 @@ def _linked(words: int, percent: int, held: int = 256):
 
 
 class _Join:
-    def __init__(self, rows: DataFrame, index: DataFrame, words: int, percent: int):
-        self.rows, self.index, self.words, self.percent = rows, index, words, percent
+    def __init__(self, texts: DataFrame, index: DataFrame, words: int, percent: int):
+        self.texts, self.index, self.words, self.percent = texts, index, words, percent
 
     def near(self) -> str:
         """Over n_a, n_b and the bitmaps: sizes and parities that a link allows. |A xor B| <= (1 - t) / (1 + t) (|A| + |B|)."""
@@ -220,7 +220,7 @@ class _Join:
             left = both.where(F.arrays_overlap("pa", "pb")).select("a", "b")
         left = table(left, "jaccard-left")
         ids = table(left.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids")
-        texts = keys_join(self.rows.select("rid", "text"), ids, "rid", "left_semi")
+        texts = keys_join(self.texts.select("rid", "text"), ids, "rid", "left_semi")
         text = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
         full = left.join(text("b"), "b").join(text("a"), "a").select("a", "text_a", "b", "text_b")
         return table(full.mapInArrow(_linked(self.words, self.percent), "a long, b long"), "jaccard-links")
@@ -235,21 +235,20 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     columns are read. rid is rid_col if given (unique), else a new number; rows holds rid and text. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    base = table(
-        entered(docs, id_col, text_col, rid_col).mapInArrow(_read(words), "rid long, doc_id long, text string, n long, f1 long, f2 long, block int, sketch binary"),
-        "jaccard-rows",
-    )
+    texts = entered(docs, id_col, text_col, rid_col)
+    texts = texts if rid_col else table(texts, "jaccard-texts")
+    base = table(texts.mapInArrow(_read(words), "rid long, doc_id long, n long, f1 long, f2 long, block int, sketch binary"), "jaccard-rows")
     rows = base.where("rid is not null")
     classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("class"))
     member = table(rows.select("rid", "doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("rid", "doc_id", "n", F.coalesce("class", "rid").alias("class")), "jaccard-classes")
     copies = table(member.where("rid <> class").select("rid"), "jaccard-copies")
     levels = spark.sparkContext.broadcast(_levels(base))  # one byte for each counter: 4 MB, whatever the input
-    firsts = keys_join(rows.where("n > 0").select("rid", "text"), copies, "rid", "left_anti")
+    firsts = keys_join(texts.select("rid", "text"), copies, "rid", "left_anti")
     index = table(firsts.mapInArrow(_prefixes(words, percent, levels), f"rid long, n long, {', '.join(f'{m} long' for m in BITS)}, p1 array<bigint>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
     keys = index.select("rid", F.explode("p1").alias("key"))
     groups = keys.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
     shared = table(keys.join(groups, "key"), "jaccard-shared")
-    join = _Join(rows, index, words, percent)
+    join = _Join(texts, index, words, percent)
     stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     stars = stars.join(join.side("a", "a", "n"), "a").join(join.side("b", "b", "n"), "b").where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
     stars = stars.join(join.side("a", "a", *BITS), "a").join(join.side("b", "b", *BITS), "b").where(join.near())
@@ -270,7 +269,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     decisions = of.join(heads, "root").select(
         "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept")
     )
-    return decisions, rows.select("rid", "text")
+    return decisions, texts.select("rid", "text")
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
