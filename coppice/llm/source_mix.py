@@ -21,8 +21,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MAX_PASSES = 2
 SEED = 20
-#: Patterns of more texts than these, by words, are routed one by one; the rest as the single source of each row.
-MAX_PATTERNS = 1000
 _WORDS = "[^\\x20\\x09-\\x0D]+"
 _BITS, _LEVELS = 8, 3
 
@@ -164,22 +162,20 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     texts = base.groupBy("same").agg(F.max("size").alias("words"), F.array_join(F.sort_array(F.collect_set("sid")), ",").alias("pattern"))
     texts = table(texts, "mix-texts")
     unique = texts.groupBy("pattern").agg(F.sum("words").alias("words")).where(F.col("pattern").contains(","))
-    large = {r["pattern"]: r["words"] for r in unique.orderBy(F.desc("words"), "pattern").limit(MAX_PATTERNS).collect()}
-    names = spark.createDataFrame([(p, p) for p in large], "pattern string, routed string")
+    overlapping = {r["pattern"]: r["words"] for r in unique.collect()}
     cellular = table(
-        base.join(texts.select("same", "pattern"), "same").join(sized(names, len(large), 4096), "pattern", "left")
-        .select("rid", "doc_id", "sid", "size", "source_size", "target", "same", F.coalesce("routed", F.col("sid").cast("string")).alias("pattern")),
+        base.join(texts.select("same", "pattern"), "same").select("rid", "doc_id", "sid", "size", "source_size", "target", "same", "pattern"),
         "mix-cells",
-    )
+    )
     cells = {(r["pattern"], r["sid"]): r["w"] for r in cellular.groupBy("pattern", "sid").agg(F.sum("size").alias("w")).collect()}
-    unique_words = {p: large.get(p, w) for (p, _), w in cells.items()}
+    unique_words = {p: overlapping.get(p, w) for (p, _), w in cells.items()}
     quotas = {number[s]: int(goal[s]) for s in goal}
     routed = route(cells, unique_words, quotas)
     rates = spark.createDataFrame([(p, s, float(routed[p, s]) / w if w else 0.0) for (p, s), w in cells.items()], "pattern string, sid int, rate double")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "same"), 11) / float(1 << 53)
     whole = F.floor("rate")
     rated = (
-        cellular.join(sized(rates, len(cells), 256), ["pattern", "sid"])
+        cellular.join(sized(rates, len(cells), 64 + max([len(p) for p, _ in cells], default=0)), ["pattern", "sid"])
         .withColumn("passes", whole.cast("long"))
         .withColumn("key", F.when(F.col("rate") > whole, u / (F.col("rate") - whole)))
         .withColumn("rank", F.least(F.col("key") * float(1 << 22), F.lit(float((1 << _BITS * _LEVELS) - 1))).cast("long"))

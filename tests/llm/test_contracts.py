@@ -244,6 +244,13 @@ def test_flow_prefers_fresh_text():
     assert out == {("x", 0): 100, ("x,y", 0): 0, ("x,y", 1): 100}
 
 
+def test_source_mix_keeps_every_pattern(spark):
+    members = [[s for s in range(11) if m >> s & 1] for m in range(1, 2**11)]
+    rows = [(i, f"text {i}", f"s{s:02}") for i, m in enumerate(members) for s in m]
+    got = source_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert collections.Counter((r["doc_id"], r["pattern"]) for r in got) == collections.Counter((i, ",".join(map(str, members[i]))) for i, _, _ in rows)
+
+
 def test_sentencepiece(docs, rows, empty):
     import sentencepiece
 
