@@ -161,16 +161,14 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     base = base.join(sized(known, len(goal), 64 + max([len(s or "") for s in goal], default=0)), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     texts = base.groupBy("same").agg(F.max("size").alias("words"), F.array_join(F.sort_array(F.collect_set("sid")), ",").alias("pattern"))
     texts = table(texts, "mix-texts")
-    unique = texts.groupBy("pattern").agg(F.sum("words").alias("words")).where(F.col("pattern").contains(","))
-    overlapping = {r["pattern"]: r["words"] for r in unique.collect()}
+    unique = {r["pattern"]: r["words"] for r in texts.groupBy("pattern").agg(F.sum("words").alias("words")).collect()}
     cellular = table(
         base.join(texts.select("same", "pattern"), "same").select("rid", "doc_id", "sid", "size", "source_size", "target", "same", "pattern"),
         "mix-cells",
     )
     cells = {(r["pattern"], r["sid"]): r["w"] for r in cellular.groupBy("pattern", "sid").agg(F.sum("size").alias("w")).collect()}
-    unique_words = {p: overlapping.get(p, w) for (p, _), w in cells.items()}
     quotas = {number[s]: int(goal[s]) for s in goal}
-    routed = route(cells, unique_words, quotas)
+    routed = route(cells, unique, quotas)
     rates = spark.createDataFrame([(p, s, float(routed[p, s]) / w if w else 0.0) for (p, s), w in cells.items()], "pattern string, sid int, rate double")
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "same"), 11) / float(1 << 53)
     whole = F.floor("rate")

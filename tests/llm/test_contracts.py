@@ -251,6 +251,17 @@ def test_source_mix_keeps_every_pattern(spark):
     assert collections.Counter((r["doc_id"], r["pattern"]) for r in got) == collections.Counter((i, ",".join(map(str, members[i]))) for i, _, _ in rows)
 
 
+def test_source_mix_prices_copies_inside_a_source(spark):
+    say = lambda name, n: " ".join([name] * n)
+    shared = [(100 + i, say(f"shared{i}", 10)) for i in range(100)]
+    rows = [(i, say("copied", 100), "c") for i in range(10)] + [(i, t, s) for i, t in shared for s in "bc"]
+    rows += [(500 + i, say(f"own{i}", 40), "ab"[i % 2]) for i in range(200)]
+    got = source_mix.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    taken = {r["pattern"]: r["taken"] for r in got.where("source_size = 2000").groupBy("pattern").sum("taken").toDF("pattern", "taken").collect()}
+    # Of c's target of 2,833 words, all of the shared text's two passes come first: the copies are one text of 100 words.
+    assert taken == {"1,2": 2000, "2": 833}
+
+
 def test_sentencepiece(docs, rows, empty):
     import sentencepiece
 
