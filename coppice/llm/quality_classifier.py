@@ -61,9 +61,12 @@ def statistics(text: bytes) -> list[float]:
         coded = (c[at].astype(np.uint64) + np.uint64(1)) * _MULTIPLIERS[place & 63] * (np.uint64(2) * (place >> 6).astype(np.uint64) + np.uint64(1))
         hashes = np.add.reduceat(coded, first)
         repeats = int((hashes[1:] == hashes[:-1]).sum())
-        window = hashes[: 512 * (words // 512)].reshape(-1, 512) if words >= 512 else hashes[None, :]
-        ordered = np.sort(window, axis=1)
-        distinct = words * float((ordered[:, 1:] != ordered[:, :-1]).sum() + len(ordered)) / ordered.size
+        whole = words - words % 512
+        distinct = 0  # of each window of 512 words and of the shorter one at the end
+        for window in (hashes[:whole].reshape(-1, 512), hashes[None, whole:]):
+            if window.size:
+                ordered = np.sort(window, axis=1)
+                distinct += int((ordered[:, 1:] != ordered[:, :-1]).sum()) + len(ordered)
     ratio = lambda a, b, k=4.0: (a / (b + k)) ** 0.5
     return [
         np.log1p(words), np.log((chars + 20.0) / (words + 4.0)), ratio(count(_UPPER), letters, 20.0), ratio(count(_SYMBOL), words), ratio(count(_PIPE), words),

@@ -294,6 +294,16 @@ def test_quality_classifier(spark, empty):
     assert {g["score"] for g in quality_classifier.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_distinct_counts_every_word():
+    at = quality_classifier.FEATURES.index("distinct")
+    for n in (1, 511, 512, 513, 1023, 1024, 1500):
+        words = [f"w{i}" for i in range(512)] * 2 + ["x", "y"] * 300
+        words = words[:512] + words[-(n - 512) :] if n > 512 else words[:n]
+        distinct = sum(len(set(words[i : i + 512])) for i in range(0, n, 512))
+        want = (distinct + 4) / (n + 4) / (1 + np.log1p(min(n, 512)) / 20)
+        assert abs(quality_classifier.statistics(" ".join(words).encode())[at] - want) < 1e-12
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
