@@ -195,6 +195,15 @@ def test_secret_scan(docs, rows, empty):
     assert secret_scan.secret_scan(empty).count() == 0
 
 
+def test_secret_scan_counts_repositories(spark):
+    rows = [(i, "ghp_" + "a1" * 14, "hot") for i in range(30)] + [(i, "ghp_" + "b2" * 14, "hot") for i in (40, 41)] + [(50, "none", "hot")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns = ("doc_id", "spans", "n_live", "n_example", "n_repositories")
+    want = [(i, "", 0, 1, 30) for i in range(30)] + [(i, "prefixed:0:32", 1, 0, 2) for i in (40, 41)] + [(50, "", 0, 0, 0)]
+    assert bag(secret_scan.secret_scan(docs), *columns) == collections.Counter(want)
+    assert secret_scan.secret_scan(docs, max_repositories=None).where("n_live = 1").count() == 32
+
+
 def test_url_filter(spark):
     pages = [
         (1, "http://a.example.com/x?utm_a=1", '<link rel="canonical" href="https://b.example.org/y">'),
