@@ -76,6 +76,12 @@ def keys_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str, row
     return df.join(F.broadcast(keys) if small else keys, on, how)
 
 
+def rejoin(df: DataFrame, totals: DataFrame, on: str | list[str], how: str = "inner", row_bytes: int = 32) -> DataFrame:
+    """Join rows with an aggregate by the same key. The aggregate is written first: it is broadcast if it is small;
+    else both sides are shuffled for this join alone, so a hot key's rows can be split over tasks at run time."""
+    return keys_join(df, table(totals, "totals"), on, how, row_bytes)
+
+
 def sized(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """``df``, marked for broadcast only if its known number of rows is small enough."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

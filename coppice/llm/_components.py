@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import keys_join, rejoin, table
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,8 +16,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the given undirected edges; root is the smallest node it can reach.
 
     Null ends, loops and repeated edges do not matter; no edges give no rows. Every round is two aggregations and two
-    joins by key whose inner side has one row a key, written to the shared folder; rounds grow with the logarithm of
-    the longest path.
+    joins by key with a written table of one row a key, so a root with many nodes can be split; rounds grow with the
+    logarithm of the longest path.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     now = table(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -25,10 +25,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while state[0] and state != before:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = rejoin(both.where("b > a"), low, "a", row_bytes=16).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = table(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = table(low, "small-low")
+        hung = keys_join(large, low, "a", "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = table(hung.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         before, state = state, _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

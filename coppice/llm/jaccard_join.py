@@ -5,11 +5,16 @@ the first n - ceil(t n) + 1 of each, under *any* global order of tokens. Three o
 frequent in the corpus come last (a fixed-size count sketch over all documents tells how frequent), the rest in the
 order of one of three hashes. A pair is only verified if it shares a prefix token under all three.
 
-Links only matter through the components they form, so no group of N documents costs N^2 pairs:
+Links only matter through the components they form, so a group of N near copies does not make N^2 pairs:
 1. documents with equal sets are one class;
-2. in each group of the first order's prefix index every member is paired with the group's first one (a star);
-3. after components of the verified stars, only groups that still hold several components pair members of different
-   components. Pairs inside a component are never made; pairs across components are all made, filtered and verified.
+2. in each group of the first order's prefix index every member is paired with the group's first one (a star), and the
+   verified pairs are joined to components. A star's center is then done in its group: all its pairs have been judged;
+3. what is left is counted: pairs of different components inside a group. While they are more than PAIRS_A_ROW times
+   the index rows, each open group gets a round of 8, 32, 128, ... further stars, and components again;
+4. at last members of different components pair with each other. None is left out, and none inside a component is made.
+
+Sizes and bitmaps are part of the join that pairs a group, so it only puts out pairs that may be links. Members that are
+in no component with their group, yet pass no bitmap, are compared and not put out; that alone is quadratic in a group.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import entered, keys_join, table, text_bytes
+from ._common import entered, keys_join, rejoin, table, text_bytes
 from ._components import components
 
 #: Counters of the frequency sketch (4 bytes each) as a power of two; its size does not depend on the input.
@@ -29,6 +34,8 @@ SKETCH_BITS = 22
 _BLOCK_BITS = 18
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 16
+#: Pairs across components that are compared at once, as a multiple of the rows of the prefix index.
+PAIRS_A_ROW = 16
 
 _RNG = np.random.default_rng(23)
 _CHARS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -226,6 +233,39 @@ class _Join:
         return table(full.mapInArrow(_linked(self.words, self.percent), "a long, b long"), "jaccard-links")
 
 
+def _pairs(join: _Join, members: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a member and another one of its group that lie in different components and may be a link."""
+    left, right = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "root", "n", *BITS))) for s, x in (("a", others), ("b", members)))
+    return left.join(right, "key").where(F.expr(f"rid_a <> rid_b and root_a <> root_b and {join.near()}")).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
+
+
+def _merged(join: _Join, shared: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, root) of all links. shared: (key, rid, head) of the groups, whose heads' stars are in ``tree``."""
+    most = PAIRS_A_ROW * shared.count()
+    members, stars = shared.where("rid <> head").select("key", "rid"), 8
+    while True:
+        tree = table(tree, "jaccard-tree")
+        placed = keys_join(members, tree.withColumnRenamed("node", "rid"), "rid", "left", 32).withColumn("root", F.coalesce("root", "rid"))
+        placed = table(placed, "jaccard-placed")
+        by_root = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+        mixed = by_root.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0")
+        mixed = table(mixed, "jaccard-mixed")
+        left = mixed.agg(F.sum("pairs")).first()[0] or 0
+        rest = keys_join(placed, mixed.select("key"), "key", "left_semi")
+        rest = table(rest.join(join.index.select("rid", "n", *BITS), "rid"), "jaccard-rest")
+        links = tree.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if left <= most:
+            return components(links.union(join.verified(_pairs(join, rest, rest).where("a < b"))))
+        # The order of centers is the same in all groups, so that overlapping groups agree on them.
+        spot = F.pmod(F.xxhash64("rid", F.lit(stars)), F.lit(stars))
+        first = F.min(F.struct(F.xxhash64(F.lit(stars), "rid").alias("order"), "rid", "root", "n", *BITS)).alias("first")
+        centers = table(rest.groupBy("key", spot.alias("spot")).agg(first).select("key", "first.*").drop("order"), "jaccard-centers")
+        found = join.verified(_pairs(join, rest, centers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        tree = components(links.union(found))
+        members = rest.select("key", "rid").join(centers.select("key", "rid"), ["key", "rid"], "left_anti")
+        stars *= 4
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the links 100 * |A and B| >= percent * |A or B| between the documents' shingle sets.
 
@@ -239,36 +279,29 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     texts = texts if rid_col else table(texts, "jaccard-texts")
     base = table(texts.mapInArrow(_read(words), "rid long, doc_id long, n long, f1 long, f2 long, block int, sketch binary"), "jaccard-rows")
     rows = base.where("rid is not null")
-    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("class"))
-    member = table(rows.select("rid", "doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("rid", "doc_id", "n", F.coalesce("class", "rid").alias("class")), "jaccard-classes")
+    classes = rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("rid").alias("class"), F.count("*").alias("c")).where("c > 1").drop("c")
+    member = rejoin(rows.select("rid", "doc_id", "n", "f1", "f2"), classes, ["n", "f1", "f2"], "left", row_bytes=32)
+    member = table(member.select("rid", "doc_id", "n", F.coalesce("class", "rid").alias("class")), "jaccard-classes")
     copies = table(member.where("rid <> class").select("rid"), "jaccard-copies")
     levels = spark.sparkContext.broadcast(_levels(base))  # one byte for each counter: 4 MB, whatever the input
     firsts = keys_join(texts.select("rid", "text"), copies, "rid", "left_anti")
     index = table(firsts.mapInArrow(_prefixes(words, percent, levels), f"rid long, n long, {', '.join(f'{m} long' for m in BITS)}, p1 array<bigint>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
     keys = index.select("rid", F.explode("p1").alias("key"))
     groups = keys.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    shared = table(keys.join(groups, "key"), "jaccard-shared")
+    shared = table(rejoin(keys, groups, "key", row_bytes=24), "jaccard-shared")
     join = _Join(texts, index, words, percent)
     stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     stars = stars.join(join.side("a", "a", "n"), "a").join(join.side("b", "b", "n"), "b").where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
     stars = stars.join(join.side("a", "a", *BITS), "a").join(join.side("b", "b", *BITS), "b").where(join.near())
-    links = join.verified(stars.select("a", "b"))
-    tree = components(links)
-    placed = shared.join(tree.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    placed = table(placed, "jaccard-placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.where("rid <> head").join(mixed, "key").select("key", "rid", "root")
-    rest = table(rest.join(join.index.select("rid", "n", *BITS), "rid"), "jaccard-rest")
-    left, right = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "root", "n", *BITS))) for s in "ab")
-    across = left.join(right, "key").where(F.expr(f"rid_a < rid_b and root_a <> root_b and {join.near()}"))
-    more = join.verified(across.select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")))
-    roots = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    roots = _merged(join, shared, components(join.verified(stars.select("a", "b"))))
     of = member.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     of = table(of.select("rid", "doc_id", "n", "root"), "jaccard-roots")
-    heads = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("first"))
-    decisions = of.join(heads, "root").select(
-        "rid", "doc_id", F.col("n").alias("n_shingles"), F.col("first.doc_id").alias("component_id"), (F.col("first.rid") == F.col("rid")).alias("kept")
-    )
+    heads = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    alone = F.col("first").isNull()
+    decisions = rejoin(of, heads, "root", "left").select(
+        "rid", "doc_id", F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (alone | (F.col("first.rid") == F.col("rid"))).alias("kept"),
+    )
     return decisions, texts.select("rid", "text")
 
 

@@ -103,6 +103,53 @@ def test_jaccard(docs, rows, empty, words, percent):
     assert jaccard_join.jaccard_components(empty)[0].count() == 0
 
 
+def linked_roots(sets, percent):
+    """Components of all pairs, by one product of the membership matrix of shared tokens."""
+    count = collections.Counter(x for s in sets for x in s)
+    column = {x: i for i, x in enumerate(x for x, n in count.items() if n > 1)}
+    m = np.zeros((len(sets), len(column)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [column[x] for x in s if x in column]] = 1
+    both, size = (m @ m.T).round().astype(int), np.array([len(s) for s in sets])
+    link = (both > 0) & (100 * both >= percent * (size[:, None] + size - both))
+    root = list(range(len(sets)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, j in np.argwhere(np.triu(link, 1)):
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("kind", ["near copies", "near misses"])
+def test_jaccard_large_group(spark, monkeypatch, kind):
+    """2,000 copies, most of them under the threshold with each other, or 2,000 texts that share three quarters."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(150 if kind == "near copies" else 90)]
+    texts = []
+    for _ in range(2000):
+        if kind == "near copies":
+            w = list(passage)
+            for _ in range(r.randint(1, 9)):
+                w[r.randrange(len(w))] = word()
+        else:
+            w = passage + [word() for _ in range(25)]
+        texts.append(w)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    verified, judged = jaccard_join._Join.verified, []
+
+    def counted(self, pairs):
+        judged.append(pairs.distinct().count())
+        return verified(self, pairs)
+
+    monkeypatch.setattr(jaccard_join._Join, "verified", counted)
+    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 1)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(docs)[0].collect()}
+    assert got == dict(enumerate(linked_roots(sets, 80)))
+    assert sum(judged) < 40 * len(texts)  # all pairs are 1,000 times the texts
+
+
 def test_parity_bitmap_bounds_difference():
     r = np.random.default_rng(5)
     a = np.unique(r.integers(0, 2**64, 500, dtype=np.uint64))
