@@ -19,6 +19,9 @@ WS_BYTES = WS_CHARS.encode()
 #: A key list is broadcast only when its measured size is below this; otherwise the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
+#: Rows of a file of a narrow table whose number of rows is known before it is written.
+ROWS_A_FILE = 50_000
+
 _local_root: str | None = None
 #: Paths of the tables written inside a ``scratch`` block; None outside.
 _recorded: list[str] | None = None
@@ -37,9 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_root
 
 
-def table(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors."""
+def table(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here and survives lost executors.
+
+    rows: how many there are at most, where that is known; a task and a file then hold about ROWS_A_FILE of them."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if _recorded is not None:
@@ -70,9 +77,9 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def keys_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str, row_bytes: int = 16) -> DataFrame:
-    """Join with a written list of keys: broadcast behind a check of its size, shuffled beyond that."""
-    small = keys.count() * row_bytes <= BROADCAST_BYTES
+def keys_join(df: DataFrame, keys: DataFrame, on: str | list[str], how: str, row_bytes: int = 16, rows: int | None = None) -> DataFrame:
+    """Join with a written list of keys: broadcast behind a check of its size (rows: if known), shuffled beyond that."""
+    small = (keys.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES
     return df.join(F.broadcast(keys) if small else keys, on, how)
 
 

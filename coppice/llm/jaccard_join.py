@@ -9,8 +9,8 @@ Links only matter through the components they form, so a group of N near copies
 1. documents with equal sets are one class;
 2. in each group of the first order's prefix index every member is paired with the group's first one (a star), and the
    verified pairs are joined to components. A star's center is then done in its group: all its pairs have been judged;
-3. what is left is counted: pairs of different components inside a group. While they are more than PAIRS_A_ROW times
-   the index rows, each open group gets a round of 8, 32, 128, ... further stars, and components again;
+3. what is left is counted: pairs of different components inside a group. While they are more than a multiple of the
+   index rows, each open group gets a round of 8, 32, 128, ... further stars, and components again;
 4. at last members of different components pair with each other. None is left out, and none inside a component is made.
 
 Sizes and bitmaps are part of the join that pairs a group, so it only puts out pairs that may be links. Members that are
@@ -34,8 +34,9 @@ SKETCH_BITS = 22
 _BLOCK_BITS = 18
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 16
-#: Pairs across components that are compared at once, as a multiple of the rows of the prefix index.
-PAIRS_A_ROW = 16
+#: Pairs across components that are compared at once, as a multiple of the rows of the prefix index: after the first
+#: stars, when many of them may be links, and after a second round, when few are and nearly all fail by their bitmaps.
+FEW_PAIRS, MANY_PAIRS = 8, 128
 
 _RNG = np.random.default_rng(23)
 _CHARS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -216,21 +217,21 @@ class _Join:
     def side(self, c: str, key: str, *names: str) -> DataFrame:
         return self.index.select(F.col("rid").alias(key), *(F.col(x).alias(f"{x}_{c}") for x in names)).hint("merge")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs (a, b), which must share a prefix token under the other orders, too."""
+    def verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """The links among candidate pairs (a, b), which must share a prefix token under the other orders, too; and how
+        many pairs there were."""
         pairs = table(pairs.distinct(), "jaccard-pairs")
-        ids = table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids")
-        left = pairs
-        for p in ("p2", "p3"):
-            order = keys_join(self.index.select("rid", p), ids, "rid", "left_semi").hint("merge")
-            both = left.join(order.select(F.col("rid").alias("a"), F.col(p).alias("pa")), "a").join(order.select(F.col("rid").alias("b"), F.col(p).alias("pb")), "b")
-            left = both.where(F.arrays_overlap("pa", "pb")).select("a", "b")
-        left = table(left, "jaccard-left")
-        ids = table(left.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids")
+        n = pairs.count()
+        ids = table(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids", 2 * n)
+        order = table(keys_join(self.index.select("rid", "p2", "p3"), ids, "rid", "left_semi"), "jaccard-orders")
+        side = lambda c: order.select(F.col("rid").alias(c), F.col("p2").alias(f"p2{c}"), F.col("p3").alias(f"p3{c}")).hint("merge")
+        left = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("p2a", "p2b") & F.arrays_overlap("p3a", "p3b")).select("a", "b")
+        left = table(left, "jaccard-left", n)
+        ids = table(left.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "jaccard-ids", 2 * n)
         texts = keys_join(self.texts.select("rid", "text"), ids, "rid", "left_semi")
         text = lambda c: texts.select(F.col("rid").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
         full = left.join(text("b"), "b").join(text("a"), "a").select("a", "text_a", "b", "text_b")
-        return table(full.mapInArrow(_linked(self.words, self.percent), "a long, b long"), "jaccard-links")
+        return table(full.mapInArrow(_linked(self.words, self.percent), "a long, b long"), "jaccard-links"), n
 
 
 def _pairs(join: _Join, members: DataFrame, others: DataFrame) -> DataFrame:
@@ -239,31 +240,34 @@ def _pairs(join: _Join, members: DataFrame, others: DataFrame) -> DataFrame:
     return left.join(right, "key").where(F.expr(f"rid_a <> rid_b and root_a <> root_b and {join.near()}")).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b"))
 
 
-def _merged(join: _Join, shared: DataFrame, tree: DataFrame) -> DataFrame:
-    """(node, root) of all links. shared: (key, rid, head) of the groups, whose heads' stars are in ``tree``."""
-    most = PAIRS_A_ROW * shared.count()
+def _merged(join: _Join, shared: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """(node, root) of all links. shared: (key, rid, head) of the groups; links: the verified ones of the heads' stars,
+    out of n pairs."""
+    tree, edges = table(components(links, rows=n), "jaccard-tree", 2 * n), 2 * n
+    rows, most = shared.count(), FEW_PAIRS
     members, stars = shared.where("rid <> head").select("key", "rid"), 8
     while True:
-        tree = table(tree, "jaccard-tree")
         placed = keys_join(members, tree.withColumnRenamed("node", "rid"), "rid", "left", 32).withColumn("root", F.coalesce("root", "rid"))
         placed = table(placed, "jaccard-placed")
         by_root = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
         mixed = by_root.groupBy("key").agg(((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0")
-        mixed = table(mixed, "jaccard-mixed")
+        mixed = table(mixed, "jaccard-mixed", rows)
         left = mixed.agg(F.sum("pairs")).first()[0] or 0
         rest = keys_join(placed, mixed.select("key"), "key", "left_semi")
         rest = table(rest.join(join.index.select("rid", "n", *BITS), "rid"), "jaccard-rest")
         links = tree.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if left <= most:
-            return components(links.union(join.verified(_pairs(join, rest, rest).where("a < b"))))
+        if left <= most * rows:
+            more, n = join.verified(_pairs(join, rest, rest).where("a < b"))
+            return components(links.union(more), rows=edges + n)
         # The order of centers is the same in all groups, so that overlapping groups agree on them.
         spot = F.pmod(F.xxhash64("rid", F.lit(stars)), F.lit(stars))
         first = F.min(F.struct(F.xxhash64(F.lit(stars), "rid").alias("order"), "rid", "root", "n", *BITS)).alias("first")
         centers = table(rest.groupBy("key", spot.alias("spot")).agg(first).select("key", "first.*").drop("order"), "jaccard-centers")
-        found = join.verified(_pairs(join, rest, centers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        tree = components(links.union(found))
+        more, n = join.verified(_pairs(join, rest, centers).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        edges += n
+        tree = table(components(links.union(more), rows=edges), "jaccard-tree", edges)
         members = rest.select("key", "rid").join(centers.select("key", "rid"), ["key", "rid"], "left_anti")
-        stars *= 4
+        stars, most = stars * 4, MANY_PAIRS
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +297,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     stars = stars.join(join.side("a", "a", "n"), "a").join(join.side("b", "b", "n"), "b").where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
     stars = stars.join(join.side("a", "a", *BITS), "a").join(join.side("b", "b", *BITS), "b").where(join.near())
-    roots = _merged(join, shared, components(join.verified(stars.select("a", "b"))))
+    roots = _merged(join, shared, *join.verified(stars.select("a", "b")))
     of = member.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     of = table(of.select("rid", "doc_id", "n", "root"), "jaccard-roots")
     heads = of.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")

@@ -143,7 +143,6 @@ def test_jaccard_large_group(spark, monkeypatch, kind):
         return verified(self, pairs)
 
     monkeypatch.setattr(jaccard_join._Join, "verified", counted)
-    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 1)
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     got = {x["doc_id"]: x["component_id"] for x in jaccard_join.jaccard_components(docs)[0].collect()}
     assert got == dict(enumerate(linked_roots(sets, 80)))
