@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ WS_CLASS = "[\\x20\\x09-\\x0D]"
 WS_CHARS = " \t\n\x0b\x0c\r"
 WS_BYTES = WS_CHARS.encode()
 
+_RNG = np.random.default_rng(23)
+_CHARS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(WS_BYTES)] = True
+
 #: A key list is broadcast only when its measured size is below this; otherwise the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
@@ -106,6 +112,26 @@ def text_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A 64-bit finalizer; each salt gives another order of the values."""
+    x = x ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a whole text's words, in their order."""
+    c = np.frombuffer(text, np.uint8)
+    inside = np.flatnonzero(~_SPACE[c])
+    if not len(inside):
+        return np.empty(0, np.uint64)
+    first = np.concatenate(([0], np.flatnonzero(np.diff(inside) > 1) + 1))
+    place = np.arange(len(inside)) - np.repeat(first, np.diff(first, append=len(inside)))
+    weight = _CHARS[place & 63] * (np.uint64(2) * (place >> 6).astype(np.uint64) + np.uint64(1))
+    return mix(np.add.reduceat((c[inside].astype(np.uint64) + np.uint64(1)) * weight, first))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` written with a unique row number ``__rid``: ids may be null or repeat."""
     return table(docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import entered, keys_join, rejoin, table, text_bytes
+from ._common import entered, keys_join, mix, rejoin, table, text_bytes, word_hashes
 from ._components import components
 
 #: Counters of the frequency sketch (4 bytes each) as a power of two; its size does not depend on the input.
@@ -38,31 +38,14 @@ BITMAP_WORDS = 16
 #: stars, when many of them may be links, and after a second round, when few are and nearly all fail by their bitmaps.
 FEW_PAIRS, MANY_PAIRS = 8, 128
 
-_RNG = np.random.default_rng(23)
-_CHARS = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORDS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[list(b" \t\n\x0b\x0c\r")] = True
-
-
-def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A 64-bit finalizer; each salt gives another order of tokens."""
-    x = x ^ np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+_WORDS = np.random.default_rng(29).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of a whole text's word shingles; A-Z are lower-cased, fewer words make one shingle."""
-    c = np.frombuffer(text.lower(), np.uint8)
-    inside = np.flatnonzero(~_SPACE[c])
-    if not len(inside):
-        return np.empty(0, np.uint64)
-    first = np.concatenate(([0], np.flatnonzero(np.diff(inside) > 1) + 1))
-    place = np.arange(len(inside)) - np.repeat(first, np.diff(first, append=len(inside)))
-    weight = _CHARS[place & 63] * (np.uint64(2) * (place >> 6).astype(np.uint64) + np.uint64(1))
-    hashes = mix(np.add.reduceat((c[inside].astype(np.uint64) + np.uint64(1)) * weight, first))
+    hashes = word_hashes(text.lower())
+    if not len(hashes):
+        return hashes
     k = min(words, len(hashes))
     total = np.full(len(hashes) - k + 1, k, np.uint64)
     for i in range(k):

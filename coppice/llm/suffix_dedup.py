@@ -12,10 +12,13 @@ length - lo after, is shared with another anchor, all its windows repeat ("past
 split and ranked again with longer cores, down to single windows. An anchor that is done stays as a witness while it
 shares its core with an open one.
 
+The same is done over words: ``n_repeat_words`` counts the words of passages of WORDS or more words that repeat, which
+may be shorter than ``length`` bytes. There a symbol is a word's 64-bit hash instead of a byte.
+
 Ranks are 128-bit hashes of the context's bytes (two 64-bit prefix hashes in the first round, BLAKE2b after it); only
 their equality matters, so no order of ranks is computed. Spark's shuffles count equal ranks with partial sums; a
 passage of a million copies is a key with a million small rows that are counted on the map side and joined back to its
-count, never paired.
+written count, never paired; that join can split the key's rows.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import entered, keys_join, table, text_bytes
+from ._common import entered, keys_join, mix, rejoin, table, text_bytes, word_hashes
 
 LENGTH = 400
 GRAM = 32
+#: The same for words: repeated passages of at least so many, and the words whose hash picks the anchors.
+WORDS = 50
+WORD_GRAM = 6
 #: Into how many parts a node is split in each round.
 SPLIT = 4
 
@@ -50,8 +56,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def symbols(text: bytes, unit: str) -> np.ndarray:
+    """A text as its bytes, or as the hashes of its words."""
+    return word_hashes(text) if unit == "words" else np.frombuffer(text, np.uint8)
+
+
 class Hasher:
-    """Hashes of any substring from prefix sums modulo 2^64 over random byte values."""
+    """Hashes of any run of symbols from prefix sums modulo 2^64 over a random value of each."""
 
     def __init__(self) -> None:
         self.n = 0
@@ -65,9 +76,9 @@ class Hasher:
     def load(self, data: np.ndarray) -> None:
         self._grow(len(data))
         self.sums = []
-        for t, up in zip(_TABLES, self.up, strict=True):
+        for which, (t, up) in enumerate(zip(_TABLES, self.up, strict=True)):
             sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(t[data] * up[: len(data)], out=sums[1:])
+            np.cumsum((t[data] if data.dtype == np.uint8 else mix(data, which + 1)) * up[: len(data)], out=sums[1:])
             self.sums.append(sums)
 
     def of(self, which: int, a, b) -> np.ndarray:
@@ -103,12 +114,12 @@ def _read(batches: Iterator) -> Iterator:
         raw = text_bytes(batch.column(2))
         digests = [hashlib.sha256(x).digest() for x in raw]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array([len(x) for x in raw], pa.int64()), pa.array(digests, pa.binary())],
-            ["rid", "doc_id", "text", "n_bytes", "digest"],
+            [*(batch.column(i) for i in range(3)), pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x.split()) for x in raw], pa.int64()), pa.array(digests, pa.binary())],
+            ["rid", "doc_id", "text", "n_bytes", "n_words", "digest"],
         )
 
 
-def _first_nodes(length: int, gram: int):
+def _first_nodes(length: int, gram: int, unit: str):
     """For each anchor its two nodes: offsets x..y, the core's rank, and the rank of the hull of its own offsets."""
     half = (length - gram) // 2
 
@@ -119,9 +130,9 @@ def _first_nodes(length: int, gram: int):
         for batch in batches:
             found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(9)]
             for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                if len(text) < length:
+                if len(text) < length or len(data := symbols(text, unit)) < length:
                     continue
-                hasher.load(data := np.frombuffer(text, np.uint8))
+                hasher.load(data)
                 place, low, high = anchors(hasher, len(data), length, gram)
                 for x, y in ((0, half), (half + 1, length - gram)):
                     lo, hi = place - high, place - low
@@ -148,20 +159,21 @@ def _ranks(*parts) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _next_nodes(length: int):
-    """Ranks of a document's open and witnessing nodes, from the bytes around their anchors."""
+def _next_nodes(length: int, unit: str):
+    """Ranks of a document's open and witnessing nodes, from the symbols around their anchors."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for rid, text, nodes in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), strict=True):
-                view, out = memoryview(text), []
+                data, out = symbols(text, unit), []
+                view, u = memoryview(data.tobytes()), data.itemsize
                 columns = [nodes.values.field(k).to_pylist() for k in range(6)]
                 for at, lo, hi, x, y, done in zip(*columns, strict=True):
                     left, right = min(hi, y), length - max(lo, x)
-                    core = _ranks(view[at - x : at + length - y])
-                    hull = core if x == y else _ranks(b"%d %d " % (left, right), view[at - left : at + right])
+                    core = _ranks(view[(at - x) * u : (at + length - y) * u])
+                    hull = core if x == y else _ranks(b"%d %d " % (left, right), view[(at - left) * u : (at + right) * u])
                     out.append((rid, at, lo, hi, x, y, done, core[0], *hull))
                 kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.int64()] * 3
                 names = ["rid", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
@@ -174,55 +186,73 @@ def _judged(nodes: DataFrame) -> DataFrame:
     """The nodes that share their core with another anchor, one of them open. ``shared``: the hull is shared, too, so
     all windows repeat; one anchor of each shared hull goes on as its ``witness``, and so do the nodes that don't."""
     cores = nodes.groupBy("x", "core").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 and open > 0").select("x", "core")
-    alive = table(nodes.join(cores, ["x", "core"]), "suffix-alive")
+    alive = table(rejoin(nodes, cores, ["x", "core"]), "suffix-alive")
     hulls = alive.groupBy("x", "hull", "hull2").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "at")).alias("witness")).where("n > 1").drop("n")
     shared = F.col("witness").isNotNull()
-    out = alive.join(hulls, ["x", "hull", "hull2"], "left").select(
+    out = rejoin(alive, hulls, ["x", "hull", "hull2"], "left", row_bytes=48).select(
         "rid", "at", "lo", "hi", "x", "y", "done", shared.alias("shared"), (~shared | (F.col("witness") == F.xxhash64("rid", "at"))).alias("witness")
     )
     return table(out, "suffix-nodes")
 
 
-def _cut(length: int):
-    """What is left of each text without its repeated bytes."""
+def runs_of(spans: list[dict]) -> list[tuple[int, int]]:
+    """The maximal runs that spans cover; touching ones are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((s["a"], s["b"]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for batch in batches:
-            out = []
-            for rid, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                kept, end, runs, removed, last = hashlib.sha256(), 0, 0, 0, -1
-                for s in sorted((s["a"], s["b"]) for s in spans):
-                    if s[0] > last:
-                        runs += 1
-                        kept.update(text[max(end, 0) : s[0]])
-                    removed += max(0, s[1] - max(s[0], end))
-                    end = last = max(end, s[1])
-                kept.update(text[end:])
-                out.append((rid, removed, runs, kept.hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["rid", "removed", "runs", "kept"])
+def _cut(batches: Iterator) -> Iterator:
+    """What is left of each text without its repeated bytes."""
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        out = []
+        for rid, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            kept, end, runs = hashlib.sha256(), 0, runs_of(spans)
+            for a, b in runs:
+                kept.update(text[end:a])
+                end = b
+            kept.update(text[end:])
+            out.append((rid, sum(b - a for a, b in runs), len(runs), kept.hexdigest()))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["rid", "removed", "runs", "kept"])
+
+
+def _covered(batches: Iterator) -> Iterator:
+    """How many words the spans of each row cover."""
+    import pyarrow as pa
 
+    for batch in batches:
+        n = [sum(b - a for a, b in runs_of(spans)) for spans in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["rid", "words"])
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Returns (spans, rows). spans: rid, a, b, byte ranges of windows that start anywhere else, too; they may overlap.
-    Rows with an equal text elsewhere have none: they repeat as a whole. rows: rid, doc_id, text, n_bytes, digest, copied.
-    """
+
+def entered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, copies). rows: rid, doc_id, text, n_bytes, n_words, digest, copied (an equal text exists), head (first of
+    these). copies: rid and head of the rows with an equal text."""
     base = table(
-        entered(docs, id_col, text_col, None).mapInArrow(_read, "rid long, doc_id long, text string, n_bytes long, digest binary"),
+        entered(docs, id_col, text_col, None).mapInArrow(_read, "rid long, doc_id long, text string, n_bytes long, n_words long, digest binary"),
         "suffix-rows",
     )
-    classes = base.groupBy("digest").agg(F.count("*").alias("copies"), F.min("rid").alias("head")).where("copies > 1")
-    copied = table(base.select("rid", "digest").join(classes, "digest").select("rid", (F.col("rid") == F.col("head")).alias("head")), "suffix-copies")
+    classes = base.groupBy("digest").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1")
+    copies = rejoin(base.select("rid", "digest"), classes, "digest", row_bytes=64).select("rid", (F.col("rid") == F.col("first")).alias("head"))
+    copies = table(copies, "suffix-copies")
+    return keys_join(base, copies, "rid", "left").withColumn("copied", F.col("head").isNotNull()), copies
+
+
+def repeated_spans(rows: DataFrame, copies: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> DataFrame:
+    """rid, a, b: ranges of ``length`` symbols that start anywhere else, too; they may overlap. Rows with an equal text
+    elsewhere have none: they repeat as a whole."""
     # One of each group of equal texts stands for them: it witnesses other documents' repeats and has no open node.
-    rows = keys_join(base, copied, "rid", "left").withColumn("copied", F.col("head").isNotNull())
-    heads = rows.where("not copied or head")
+    heads = rows.where("not copied or head").select("rid", "text")
     named = "rid long, at long, lo long, hi long, x long, y long, core long, hull long, hull2 long"
-    first = table(heads.select("rid", "text").mapInArrow(_first_nodes(length, gram), named), "suffix-first")
-    first = keys_join(first, copied.select("rid", F.lit(True).alias("done")), "rid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    first = table(heads.mapInArrow(_first_nodes(length, gram, unit), named), "suffix-first")
+    first = keys_join(first, copies.select("rid", F.lit(True).alias("done")), "rid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     nodes = _judged(first)
     spans, texts = [nodes], None
     width = (length - gram) // 2 + 1
@@ -233,36 +263,39 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
         child = child.withColumn("y", F.least(F.col("x") + width - 1, "y")).where("x <= hi and y >= lo")
         pending = table(child.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi", "x", "y", "done")).alias("nodes")), "suffix-pending")
         if texts is None:  # only the documents that may hold a repeat go on
-            texts = table(keys_join(heads.select("rid", "text"), pending.select("rid"), "rid", "left_semi"), "suffix-texts")
+            texts = table(keys_join(heads, pending.select("rid"), "rid", "left_semi"), "suffix-texts")
         named = "rid long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long"
-        ranked = texts.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(length), named)
+        ranked = texts.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(length, unit), named)
         nodes = _judged(table(ranked, "suffix-ranks"))
         spans.append(nodes)
     out = None
     for s in spans:
         s = s.where("shared and not done").select("rid", (F.col("at") - F.least("hi", "y")).alias("a"), (F.col("at") + length - F.greatest("lo", "x")).alias("b"))
         out = s if out is None else out.union(s)
-    return out, rows
+    return table(out.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, repeated rows too.
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeat_words for each row, repeated rows too.
 
     A byte goes if a ``length``-byte string that covers it also starts elsewhere in any text, its own included; matches
-    overlap and never cross texts. Null counts as the empty text; shorter texts lose nothing. Only the two columns are
-    read. An empty table gives an empty result.
+    overlap and never cross texts. n_repeat_words counts, without removing any, the words that a run of ``words`` words
+    covers which also starts elsewhere. Null counts as the empty text; shorter texts lose nothing. Only the two columns
+    are read. An empty table gives an empty result.
     """
-    spans, rows = repeated_spans(docs, length, gram, id_col, text_col)
-    by_row = table(spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
+    rows, copies = entered_texts(docs, id_col, text_col)
+    by_row = repeated_spans(rows, copies, length, gram)
     texts = keys_join(rows.where("not copied").select("rid", "text"), by_row.select("rid"), "rid", "left_semi").join(by_row, "rid")
-    cut = texts.select("rid", "text", "spans").mapInArrow(_cut(length), "rid long, removed long, runs long, kept string")
+    cut = texts.select("rid", "text", "spans").mapInArrow(_cut, "rid long, removed long, runs long, kept string")
+    passages = repeated_spans(rows, copies, words, word_gram, "words").select("rid", "spans").mapInArrow(_covered, "rid long, words long")
     gone = F.col("copied") & (F.col("n_bytes") >= length)
-    return rows.drop("text").join(cut, "rid", "left").select(
+    return rows.drop("text").join(cut, "rid", "left").join(passages, "rid", "left").select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(gone, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        F.when(F.col("copied") & (F.col("n_words") >= words), F.col("n_words")).otherwise(F.coalesce("words", F.lit(0))).alias("n_repeat_words"),
     )
 
 

@@ -157,10 +157,11 @@ def test_parity_bitmap_bounds_difference():
     assert bits <= 27
 
 
-@pytest.mark.parametrize("length,gram", [(400, 32), (60, 12)])
-def test_suffix_dedup(docs, rows, empty, length, gram):
+@pytest.mark.parametrize("length,gram,words,word_gram", [(400, 32, 50, 6), (60, 12, 9, 2)])
+def test_suffix_dedup(docs, rows, empty, length, gram, words, word_gram):
     texts = [(r[1] or "").encode() for r in rows]
     count = collections.Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    runs = collections.Counter(tuple(w[i : i + words]) for w in (t.split() for t in texts) for i in range(len(w) - words + 1))
     want = collections.Counter()
     for r, t in zip(rows, texts):
         gone = bytearray(len(t))
@@ -168,8 +169,10 @@ def test_suffix_dedup(docs, rows, empty, length, gram):
             if count[t[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
         spans = len(re.findall(b"\1+", bytes(gone)))
-        want[(r[0], len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest())] += 1
-    assert bag(suffix_dedup.remove_repeats(docs, length, gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+        w = t.split()
+        again = {k + d for k in range(len(w) - words + 1) if runs[tuple(w[k : k + words])] > 1 for d in range(words)}
+        want[(r[0], len(t), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest(), len(again))] += 1
+    assert bag(suffix_dedup.remove_repeats(docs, length, gram, words, word_gram), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeat_words") == want
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
