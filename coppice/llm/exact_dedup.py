@@ -18,10 +18,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS_BYTES, WS_CHARS, entered, keys_join, parts, table, text_bytes
+from ._common import WS_BYTES, WS_CHARS, entered, keys_join, parts, rejoin, table, text_bytes
 
 #: An owner decodes at most about this many rows' fingerprints at once.
 ROWS_PER_OWNER = 2_000_000
+#: Scan tasks are put together to senders until a blob holds about this many fingerprints: blobs then stay in
+#: proportion to the rows. A sender's rows grow to ROWS_A_BLOB * owners, 16 bytes each.
+ROWS_A_BLOB = 1_000
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -140,9 +143,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         entered(docs, id_col, text_col, rid_col).mapInArrow(_fingerprints, "rid long, doc_id long, text string, fp long, sha string"),
         "exact-rows",
     )
-    owners = max(parts(spark), base.count() // ROWS_PER_OWNER + 1)
+    rows = base.count()
+    owners = max(parts(spark), rows // ROWS_PER_OWNER + 1)
+    senders = max(parts(spark), rows // (ROWS_A_BLOB * owners))
     sent = table(
-        base.select("rid", "fp").mapInArrow(_senders(owners), "owner int, sender int, blob binary, rids binary, counts binary"),
+        base.select("rid", "fp").coalesce(senders).mapInArrow(_senders(owners), "owner int, sender int, blob binary, rids binary, counts binary"),
         "exact-sent",
     )
     answers = sent.select("owner", "sender", "blob").groupBy("owner").applyInPandas(_answer, "owner int, sender int, bitmap binary")
@@ -163,8 +168,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("sha", F.xxhash64("norm").alias("again"), "best", "group_size")
     )
     members = (
-        seen.select("rid", "sha", F.xxhash64("norm").alias("again"))
-        .join(groups, ["sha", "again"])
+        rejoin(seen.select("rid", "sha", F.xxhash64("norm").alias("again")), groups, ["sha", "again"], row_bytes=128)
         .select("rid", (-F.col("best.id")).alias("keep"), (-F.col("best.rid")).alias("keep_rid"), "group_size")
     )
     decisions = base.select("rid", "doc_id", "sha").join(members, "rid", "left")

@@ -16,9 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS_CHARS, keys_join, narrowed, table
+from ._common import WS_CHARS, keys_join, narrowed, rejoin, table
 
-#: The edit bound is 1 for lines of at least this many characters, 0 (equal lines only) for shorter ones.
+#: The edit bound is 1 for lines of at least this many characters, 0 (equal lines only) for shorter ones: among short
+#: lines (numbers, names, list items) one edit is often another meaning.
 NEAR_CHARS = 24
 #: Characters in a chunk of a half line.
 CHUNK = 64
@@ -31,6 +32,7 @@ def _lines(base: DataFrame) -> DataFrame:
 
 
 def _key(*parts) -> Column:
+    """A hash of the parts. Each part is hashed with the part before as its seed, so a salt must come first."""
     return F.xxhash64(*parts)
 
 
@@ -48,7 +50,7 @@ def _halves(line: Column, n: Column) -> Column:
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key more than one row has."""
-    return rows.join(rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), key)
+    return rejoin(rows, rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), key, "left_semi")
 
 
 def _order(prefix: str = "") -> Column:
@@ -84,26 +86,26 @@ def _near(forms: DataFrame, base: DataFrame) -> DataFrame:
     variant = _key("around", "i", F.substring("chunk", F.lit(1), F.col("i")), F.substring("chunk", F.col("i") + 2 - F.col("short"), F.length("chunk")))
     variants = spread.select("h", "h2", "first", variant.alias("variant"))
     earliest = variants.groupBy("variant").agg(F.min("first").alias("earliest"), F.count("*").alias("_n")).where("_n > 1").select("variant", "earliest")
-    later = variants.join(earliest, "variant").where("earliest < first").groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("earliest").alias("earliest"))
+    later = rejoin(variants, earliest, "variant", row_bytes=48).where("earliest < first").groupBy("h", "h2").agg(F.min("first").alias("first"), F.min("earliest").alias("earliest"))
     pair = later.join(lines.withColumnRenamed("line", "line_a"), place("first")).drop("rid", "no").join(lines.withColumnRenamed("line", "line_b"), place("earliest"))
     return pair.where(F.levenshtein("line_a", "line_b", 1) == 1).select("h", "h2", F.lit(True).alias("near"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_exact, n_near, kept_text for each row, repeated rows too.
 
     Lines are the \\n-split parts of whole texts, compared without the white space around them; lines without a word
     always stay. A line goes if an equal line comes earlier (n_exact), or one that differs by one character edit
-    (n_near; both of NEAR_CHARS or more). Earlier: by id, null ids last, then by row and line number. What counts is the
+    (n_near; both of near_chars or more, 1 for all lines). Earlier: by id, null ids last, then by row and line number. What counts is the
     first place of the earlier line, whether that line stays or not. Null counts as the empty text; only the two columns
     are read; an empty table gives an empty result.
     """
     base = table(
         narrowed(docs, doc_id=id_col, text=text_col).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), "line-rows"
     )
-    lines = _lines(base).select("rid", "doc_id", "no", _key("line").alias("h"), _key("line", F.lit(1)).alias("h2"), "line")
+    lines = _lines(base).select("rid", "doc_id", "no", _key("line").alias("h"), _key(F.lit(1), "line").alias("h2"), "line")
     measured = lines.withColumn("n", F.length("line"))
-    halves = F.when(F.col("n") >= NEAR_CHARS, _halves(F.col("line"), F.col("n")))
+    halves = F.when(F.col("n") >= near_chars, _halves(F.col("line"), F.col("n")))
     # Equal lines meet on the map side first; only hashes are shuffled, never the lines.
     forms = measured.select("rid", "doc_id", "no", "h", "h2", halves.alias("halves")).groupBy("h", "h2")
     forms = table(forms.agg(F.min(_order()).alias("first"), F.first("halves").alias("halves"), F.count("*").alias("copies")), "line-forms")

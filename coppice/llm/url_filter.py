@@ -25,9 +25,12 @@ MAX_RULES = 500
 _HOST = "(?s)^.*?://([^/?#]*)"
 _PATH = "(?s)^.*?://[^/?#]*([^?#]*)"
 _QUERY = "(?s)^.*?://[^?#]*\\?([^#]*)"
-_CANONICAL = "(?is)<link\\s[^>]*rel=[\"']?canonical[\"']?[^>]*>"
+_TAG = "(?is)<(?:link|meta)\\s[^>]*>"
+_CANONICAL = "(?is)^<link\\s[^>]*rel=[\"']?canonical"
 _HREF = "(?is)href=[\"']?([^\"'\\s>]+)"
-_REFRESH = "(?is)<meta\\s[^>]*http-equiv=[\"']?refresh[\"']?[^>]*?url=[\"']?([^\"'\\s>]+)"
+_REFRESH = "(?is)^<meta\\s[^>]*http-equiv=[\"']?refresh"
+_JUMP = "(?is)url=[\"']?([^\"'\\s>]+)"
+_SCHEME = "(?s)^(.*?)://"
 
 
 def host_of(url: Column) -> Column:
@@ -56,22 +59,37 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _without_dots(path: Column) -> Column:
+    """A rooted path with its ``.`` and ``..`` parts applied."""
+    start = F.expr("cast(array() as array<string>)")
+    last = F.when(F.element_at(F.split(path, "/"), -1).isin(".", ".."), F.array(F.lit(""))).otherwise(start)
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), start, step), last), "/"))
+
+
 def _resolved(target: Column, url: Column) -> Column:
-    """Absolute form of a link; other relative links than rooted ones give null."""
-    scheme = F.regexp_extract(url, "(?s)^(.*?)://", 1)
+    """Absolute form of a link in a page; null for a link inside the page and for schemes without ``://``."""
+    scheme, path = F.regexp_extract(url, _SCHEME, 1), path_of(url)
+    there, rest = F.regexp_extract(target, "(?s)^([^?#]*)", 1), F.regexp_extract(target, "(?s)^[^?#]*(.*)$", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.when(path.contains("/"), F.regexp_extract(path, "(?s)^(.*/)", 1)).otherwise(F.lit("/"))
     return (
         F.when(target.contains("://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target))
+        .when(target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("?"), F.concat(site, path, target))
+        .when(target.startswith("/"), F.concat(site, _without_dots(there), rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, there)), rest))
     )
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """(url, target) from canonical links and refresh redirects in (url, html)."""
-    link = F.when(F.col("html").rlike("(?i)canonical"), F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1))
-    jump = F.when(F.col("html").rlike("(?i)http-equiv"), F.regexp_extract("html", _REFRESH, 1))
-    found = pages.where("url is not null and html is not null").select("url", F.explode(F.array(link, jump)).alias("target"))
-    return found.where("target <> ''").select("url", _resolved(F.replace("target", F.lit("&amp;"), F.lit("&")), F.col("url")).alias("target")).where("target is not null")
+    """(url, target) from all canonical links and refresh redirects in (url, html)."""
+    tags = pages.where("url is not null and html is not null").where(F.col("html").rlike("(?i)canonical|http-equiv"))
+    tags = tags.where(F.col("url").contains("://")).select("url", F.explode(F.regexp_extract_all("html", F.lit(_TAG), F.lit(0))).alias("tag"))
+    target = F.when(F.col("tag").rlike(_CANONICAL), F.regexp_extract("tag", _HREF, 1)).when(F.col("tag").rlike(_REFRESH), F.regexp_extract("tag", _JUMP, 1))
+    found = tags.select("url", F.replace(target, F.lit("&amp;"), F.lit("&")).alias("target")).where("target <> ''")
+    return found.select("url", _resolved(F.col("target"), F.col("url")).alias("target")).where("target is not null")
 
 
 def url_filter(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
@@ -109,11 +127,19 @@ _RULE_SQL = """
   SELECT x.*, (SELECT h || p FROM rules WHERE (x.host = h OR ends_with(x.host, '.' || h)) AND starts_with(x.path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule FROM {0} x"""
 SQL = rf"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-found AS (SELECT url, CASE WHEN k = 0 THEN regexp_extract(regexp_extract(html, '(?is)<link\s[^>]*rel=["'']?canonical["'']?[^>]*>'), '(?is)href=["'']?([^"''\s>]+)', 1)
-                           ELSE regexp_extract(html, '(?is)<meta\s[^>]*http-equiv=["'']?refresh["'']?[^>]*?url=["'']?([^"''\s>]+)', 1) END AS target
-          FROM pages, (VALUES (0), (1)) t(k)),
-links AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN regexp_extract(url, '^(.*?)://', 1) || ':' || target
-                           WHEN starts_with(target, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || target END AS target FROM found WHERE target <> ''),
+tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+found AS (SELECT url, replace(CASE WHEN regexp_matches(tag, '(?is)^<link\s[^>]*rel=["'']?canonical') THEN regexp_extract(tag, '(?is)href=["'']?([^"''\s>]+)', 1)
+                           WHEN regexp_matches(tag, '(?is)^<meta\s[^>]*http-equiv=["'']?refresh') THEN regexp_extract(tag, '(?is)url=["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS target FROM tags),
+parts AS (SELECT url, target, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+                 regexp_extract(target, '(?s)^([^?#]*)', 1) AS there, regexp_extract(target, '(?s)^[^?#]*(.*)$', 1) AS rest FROM found WHERE target <> ''),
+merged AS (SELECT *, CASE WHEN starts_with(target, '/') THEN there WHEN contains(path, '/') THEN regexp_extract(path, '(?s)^(.*/)', 1) || there ELSE '/' || there END AS raw FROM parts),
+plain AS (SELECT *, list_reduce(list_prepend([''], list_transform(string_split(raw[2:], '/'), lambda x: [x])),
+                 lambda a, b: CASE WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] WHEN b[1] = '.' THEN a ELSE a || b END) AS kept,
+                 CASE WHEN regexp_matches(raw, '(^|/)[.][.]?$') THEN '/' ELSE '' END AS last FROM merged),
+links AS (SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target
+                           WHEN starts_with(target, '#') OR regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+                           WHEN starts_with(target, '?') THEN scheme || '://' || site || path || target
+                           ELSE scheme || '://' || site || CASE WHEN len(kept) = 1 THEN '/' ELSE array_to_string(kept, '/') || last END || rest END AS target FROM plain),
 urls AS (SELECT url FROM pages UNION SELECT url FROM links UNION SELECT target FROM links WHERE target IS NOT NULL),
 split AS (SELECT url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,

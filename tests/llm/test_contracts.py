@@ -208,6 +208,16 @@ def test_line_dedup(docs, rows, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_line_hashes_are_independent(spark, docs, rows):
+    from pyspark.sql import functions as F
+
+    lines = spark.createDataFrame([("a line",)], "line string").select(line_dedup._key("line").alias("h"), line_dedup._key(F.lit(1), "line").alias("h2"))
+    assert lines.where(F.col("h2") == F.hash("h")).count() == lines.where(F.expr("h2 = xxhash64(h, 1)")).count() == 0
+    assert lines.where("h2 = (select xxhash64('a line', 1))").count() == 0  # a function of h alone
+    short = spark.createDataFrame([(1, "abc\nabd\nxyz")], "doc_id long, text string")
+    assert [r["kept_text"] for r in line_dedup.line_dedup(short, near_chars=1).collect()] == ["abc\nxyz"]
+
+
 def test_quality_rules(docs, rows, empty):
     want = collections.Counter()
     for r in rows:
@@ -250,7 +260,15 @@ def test_secret_scan_counts_repositories(spark):
     columns = ("doc_id", "spans", "n_live", "n_example", "n_repositories")
     want = [(i, "", 0, 1, 30) for i in range(30)] + [(i, "prefixed:0:32", 1, 0, 2) for i in (40, 41)] + [(50, "", 0, 0, 0)]
     assert bag(secret_scan.secret_scan(docs), *columns) == collections.Counter(want)
-    assert secret_scan.secret_scan(docs, max_repositories=None).where("n_live = 1").count() == 32
+    assert secret_scan.secret_scan(docs, max_repositories=30).where("n_live = 1").count() == 32
+
+
+def test_secret_scan_many_matches(spark):
+    text = " ".join(f"é {i:x} " + "0a" * 16 for i in range(1000))
+    docs = spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")
+    want = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32)
+    got = secret_scan.secret_scan(docs).first()
+    assert (got["n_hex"], got["base_sha256"], got["spans"]) == (1000, sha(want), want)
 
 
 def test_url_filter(spark):
@@ -278,6 +296,31 @@ def test_url_filter(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+RELATIVE = {
+    "page.html": "http://h.org/a/b/page.html", "../z": "http://h.org/a/z", "?q=1": "http://h.org/a/b/c?q=1", "./": "http://h.org/a/b/", "../../../x?y#z": "http://h.org/x?y#z", "..": "http://h.org/a/",
+    "/r/./s": "http://h.org/r/s", "//o.net/x": "http://o.net/x", "https://o.net/": "https://o.net/", "#top": None, "mailto:a@b.c": None,
+}
+
+
+def test_relative_links(spark):
+    import duckdb
+
+    pages = [(i, "http://h.org/a/b/c?d#e", f"<p><meta content='3; URL={t}' http-equiv=refresh>") for i, t in enumerate(RELATIVE)]
+    pages += [(100, "http://k.org", '<link href=a rel="canonical"><LINK REL=canonical HREF=b><link rel=icon href=c>'), (101, "http://z.net/x", None), (102, "http://h.org/a/b/page.html", "")]
+    pages += [(103, "http://k.org/b", "<meta http-equiv=refresh content='0;url=http://z.net/x'>"), (104, "http://h.org/a/z", "<link rel=canonical href=http://z.net/x>"), (105, "odd", "<link rel=canonical href=http://z.net/x>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = collections.Counter((r["url"], r["target"]) for r in url_filter.alias_edges(df.where("page_id < 103")).collect())
+    assert got == collections.Counter([("http://h.org/a/b/c?d#e", t) for t in RELATIVE.values() if t] + [("http://k.org", "http://k.org/a"), ("http://k.org", "http://k.org/b")])
+    columns = ("page_id", "host", "path", "rule", "verdict", "via_alias")
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    rows = con.execute(url_filter.SQL).fetchdf()
+    want = collections.Counter(tuple(None if x != x else x for x in r) for r in rows[list(columns)].itertuples(index=False))
+    out = url_filter.url_filter(df)
+    assert bag(out, *columns) == want
+    assert {r["page_id"] for r in out.where("via_alias").collect()} >= {100, 103, 104}
+
+
 def test_source_mix(docs, rows, empty):
     got = source_mix.mix_sources(docs).collect()
     assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
