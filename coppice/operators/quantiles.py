@@ -9,7 +9,7 @@ counts: all rows less the fold's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -20,6 +20,16 @@ from ..functions.binning import finite
 RANGES = 64
 
 
+#: Cuts are searched in two steps: among every STEP-th one, then among those up to the next.
+STEP = 8
+
+
+def _range(cuts: Column, coarse: Column, v: Column) -> Column:
+    """The number of cuts that are not above the value."""
+    k = F.size(F.filter(coarse, lambda c: c <= v))
+    return STEP * k + F.size(F.filter(F.slice(cuts, STEP * k + 1, F.lit(STEP - 1)), lambda c: c <= v))
+
+
 def quantile_edges(cells: DataFrame, group: list[str], value: str, n_bins: int, fold: str | None = None, k: int = 0, ranges: int = RANGES) -> DataFrame:
     """(group, view, edges): view -1 is over all rows, view f over the rows outside fold f.
 
@@ -32,7 +42,8 @@ def quantile_edges(cells: DataFrame, group: list[str], value: str, n_bins: int,
         return spark.createDataFrame([], StructType([*cells.select(*group).schema.fields, StructField("view", IntegerType()), StructField("edges", ArrayType(DoubleType()))]))
     rows = cells.select(*group, finite(F.col(value)).alias("_v"), *([F.col(fold).alias("_f")] if fold else [])).where("_v is not null")
     cuts = rows.groupBy(*group).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts"))
-    ranged = rows.join(F.broadcast(cuts), group).withColumn("_r", F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))).drop("_cuts")
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda c, i: i % STEP == STEP - 1))
+    ranged = rows.join(F.broadcast(cuts), group).withColumn("_r", _range(F.col("_cuts"), F.col("_coarse"), F.col("_v"))).drop("_cuts", "_coarse")
     counted = [F.count("*").alias("n_-1"), *(F.count_if(F.col("_f") == f).alias(f"n_{f}") for f in views[1:])]
     sizes = ranged.groupBy(*group, "_r").agg(*counted)
     before = W.partitionBy(*group).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)

@@ -174,14 +174,18 @@ def _grower(spark, d, **p):
 
 
 #: Features 0..2 are continuous, 3 (status) is a category.
+def _bare(spark, d, label="big"):
+    return lineitem_rows(spark, d).select("row_id", F.lit(0).alias("node"), F.col(label).alias("y"), F.array(*(F.col(c).cast("double") for c in (*FEATURES, "status"))).alias("x"))
+
+
 def _level(spark, d, label="big"):
-    rows = lineitem_rows(spark, d).select("row_id", F.lit(0).alias("node"), F.col(label).alias("y"), F.array(*(F.col(c).cast("double") for c in (*FEATURES, "status"))).alias("x"))
-    return folds.assign_folds(rows, K, SEED)
+    return folds.assign_folds(_bare(spark, d, label), K, SEED)
 
 
 def _fast_coded(spark, d, label="big"):
-    level = _level(spark, d, label)
-    cells = level.select(F.posexplode("x").alias("feature", "v")).where("feature < 3")
+    rows = _bare(spark, d, label)
+    level = folds.assign_folds(rows, K, SEED)
+    cells = rows.select(F.posexplode("x").alias("feature", "v")).where("feature < 3")
     found = {r["feature"]: r["edges"] for r in quantiles.quantile_edges(cells, ["feature"], "v", BINS).collect()}
     edges = [list(found.get(i, [])) for i in range(4)]
     arrays = F.array(*(F.array(*map(F.lit, e)) if e else F.expr("cast(array() as array<double>)") for e in edges))
