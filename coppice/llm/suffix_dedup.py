@@ -15,8 +15,8 @@ shares its core with an open one.
 The same is done over words: ``n_repeat_words`` counts the words of passages of WORDS or more words that repeat, which
 may be shorter than ``length`` bytes. There a symbol is a word's 64-bit hash instead of a byte.
 
-Ranks are 128-bit hashes of the context's bytes (two 64-bit prefix hashes in the first round, BLAKE2b after it); only
-their equality matters, so no order of ranks is computed. Spark's shuffles count equal ranks with partial sums; a
+Ranks are 128-bit hashes of the context's symbols, two 64-bit ones from prefix sums over random values; only their
+equality matters, so no order of ranks is computed. Spark's shuffles count equal ranks with partial sums; a
 passage of a million copies is a key with a million small rows that are counted on the map side and joined back to its
 written count, never paired; that join can split the key's rows.
 """
@@ -119,6 +119,14 @@ def _read(batches: Iterator) -> Iterator:
         )
 
 
+def _ranks(hasher: Hasher, length: int, at, lo, hi, x, y) -> list[np.ndarray]:
+    """Of nodes with the offsets x..y: the core's rank, and the two halves of the rank of the hull of their own offsets."""
+    left, right = np.minimum(hi, y), length - np.maximum(lo, x)
+    bounds = (left * 65_536 + right).astype(np.uint64) * np.uint64(_BASES[0] % 2**64)
+    ranks = (hasher.of(0, at - x, at + length - y), hasher.of(0, at - left, at + right) ^ bounds, hasher.of(1, at - left, at + right))
+    return [r.view(np.int64) for r in ranks]
+
+
 def _first_nodes(length: int, gram: int, unit: str):
     """For each anchor its two nodes: offsets x..y, the core's rank, and the rank of the hull of its own offsets."""
     half = (length - gram) // 2
@@ -138,15 +146,8 @@ def _first_nodes(length: int, gram: int, unit: str):
                     lo, hi = place - high, place - low
                     mine = (lo <= y) & (hi >= x)
                     at, lo, hi = place[mine], lo[mine], hi[mine]
-                    left, right = np.minimum(hi, y), length - np.maximum(lo, x)
-                    bounds = (left * 65_536 + right).astype(np.uint64) * np.uint64(_BASES[0] % 2**64)
-                    ranks = (
-                        hasher.of(0, at - x, at + length - y),
-                        hasher.of(0, at - left, at + right) ^ bounds,
-                        hasher.of(1, at - left, at + right),
-                    )
-                    whole = (np.full(len(at), v, np.int64) for v in (rid, x, y))
-                    for column, v in zip(found, (next(whole), at, lo, hi, next(whole), next(whole), *(r.view(np.int64) for r in ranks)), strict=True):
+                    rids, xs, ys = (np.full(len(at), v, np.int64) for v in (rid, x, y))
+                    for column, v in zip(found, (rids, at, lo, hi, xs, ys, *_ranks(hasher, length, at, lo, hi, x, y)), strict=True):
                         column.append(v)
             names = ["rid", "at", "lo", "hi", "x", "y", "core", "hull", "hull2"]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names)
@@ -154,30 +155,20 @@ def _first_nodes(length: int, gram: int, unit: str):
     return run
 
 
-def _ranks(*parts) -> tuple[int, int]:
-    digest = hashlib.blake2b(b"".join(parts), digest_size=16).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
-
-
 def _next_nodes(length: int, unit: str):
     """Ranks of a document's open and witnessing nodes, from the symbols around their anchors."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        hasher = Hasher()
         for batch in batches:
             for rid, text, nodes in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), strict=True):
-                data, out = symbols(text, unit), []
-                view, u = memoryview(data.tobytes()), data.itemsize
-                columns = [nodes.values.field(k).to_pylist() for k in range(6)]
-                for at, lo, hi, x, y, done in zip(*columns, strict=True):
-                    left, right = min(hi, y), length - max(lo, x)
-                    core = _ranks(view[(at - x) * u : (at + length - y) * u])
-                    hull = core if x == y else _ranks(b"%d %d " % (left, right), view[(at - left) * u : (at + right) * u])
-                    out.append((rid, at, lo, hi, x, y, done, core[0], *hull))
-                kinds = [pa.int64()] * 6 + [pa.bool_()] + [pa.int64()] * 3
+                hasher.load(symbols(text, unit))
+                at, lo, hi, x, y = (nodes.values.field(k).to_numpy() for k in range(5))
+                ranks = _ranks(hasher, length, at, lo, hi, x, y)
                 names = ["rid", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rid, np.int64)), *map(pa.array, (at, lo, hi, x, y)), nodes.values.field(5), *map(pa.array, ranks)], names)
 
     return run
 
