@@ -12,7 +12,7 @@ length - lo after, is shared with another anchor, all its windows repeat ("past
 split and ranked again with longer cores, down to single windows. An anchor that is done stays as a witness while it
 shares its core with an open one.
 
-The same is done over words: ``n_repeat_words`` counts the words of passages of WORDS or more words that repeat, which
+The same is done over words, in the same rounds: ``n_repeat_words`` counts the words of passages of WORDS or more words that repeat, which
 may be shorter than ``length`` bytes. There a symbol is a word's 64-bit hash instead of a byte.
 
 Ranks are 128-bit hashes of the context's symbols, two 64-bit ones from prefix sums over random values; only their
@@ -127,35 +127,36 @@ def _ranks(hasher: Hasher, length: int, at, lo, hi, x, y) -> list[np.ndarray]:
     return [r.view(np.int64) for r in ranks]
 
 
-def _first_nodes(length: int, gram: int, unit: str):
-    """For each anchor its two nodes: offsets x..y, the core's rank, and the rank of the hull of its own offsets."""
-    half = (length - gram) // 2
+def _first_nodes(kinds: tuple):
+    """For each anchor of each kind its two nodes: offsets x..y, the core's rank, and the rank of the hull of its own offsets."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hasher = Hasher()
         for batch in batches:
-            found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(9)]
+            found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(10)]
             for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
-                if len(text) < length or len(data := symbols(text, unit)) < length:
-                    continue
-                hasher.load(data)
-                place, low, high = anchors(hasher, len(data), length, gram)
-                for x, y in ((0, half), (half + 1, length - gram)):
-                    lo, hi = place - high, place - low
-                    mine = (lo <= y) & (hi >= x)
-                    at, lo, hi = place[mine], lo[mine], hi[mine]
-                    rids, xs, ys = (np.full(len(at), v, np.int64) for v in (rid, x, y))
-                    for column, v in zip(found, (rids, at, lo, hi, xs, ys, *_ranks(hasher, length, at, lo, hi, x, y)), strict=True):
-                        column.append(v)
-            names = ["rid", "at", "lo", "hi", "x", "y", "core", "hull", "hull2"]
+                for kind, (unit, length, gram) in enumerate(kinds):
+                    if len(text) < length or len(data := symbols(text, unit)) < length:
+                        continue
+                    hasher.load(data)
+                    place, low, high = anchors(hasher, len(data), length, gram)
+                    half = (length - gram) // 2
+                    for x, y in ((0, half), (half + 1, length - gram)):
+                        lo, hi = place - high, place - low
+                        mine = (lo <= y) & (hi >= x)
+                        at, lo, hi = place[mine], lo[mine], hi[mine]
+                        rids, ks, xs, ys = (np.full(len(at), v, np.int64) for v in (rid, kind, x, y))
+                        for column, v in zip(found, (rids, ks, at, lo, hi, xs, ys, *_ranks(hasher, length, at, lo, hi, x, y)), strict=True):
+                            column.append(v)
+            names = ["rid", "kind", "at", "lo", "hi", "x", "y", "core", "hull", "hull2"]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names)
 
     return run
 
 
-def _next_nodes(length: int, unit: str):
+def _next_nodes(kinds: tuple):
     """Ranks of a document's open and witnessing nodes, from the symbols around their anchors."""
 
     def run(batches: Iterator) -> Iterator:
@@ -164,11 +165,17 @@ def _next_nodes(length: int, unit: str):
         hasher = Hasher()
         for batch in batches:
             for rid, text, nodes in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), strict=True):
-                hasher.load(symbols(text, unit))
-                at, lo, hi, x, y = (nodes.values.field(k).to_numpy() for k in range(5))
-                ranks = _ranks(hasher, length, at, lo, hi, x, y)
-                names = ["rid", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rid, np.int64)), *map(pa.array, (at, lo, hi, x, y)), nodes.values.field(5), *map(pa.array, ranks)], names)
+                which = nodes.values.field(0).to_numpy()
+                for kind, (unit, length, _) in enumerate(kinds):
+                    mine = np.flatnonzero(which == kind)
+                    if not len(mine):
+                        continue
+                    hasher.load(symbols(text, unit))
+                    at, lo, hi, x, y = (nodes.values.field(k).to_numpy()[mine] for k in range(1, 6))
+                    ranks = _ranks(hasher, length, at, lo, hi, x, y)
+                    names = ["rid", "kind", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
+                    same = (pa.array(np.full(len(at), v, np.int64)) for v in (rid, kind))
+                    yield pa.RecordBatch.from_arrays([*same, *map(pa.array, (at, lo, hi, x, y)), nodes.values.field(6).take(pa.array(mine)), *map(pa.array, ranks)], names)
 
     return run
 
@@ -176,12 +183,12 @@ def _next_nodes(length: int, unit: str):
 def _judged(nodes: DataFrame) -> DataFrame:
     """The nodes that share their core with another anchor, one of them open. ``shared``: the hull is shared, too, so
     all windows repeat; one anchor of each shared hull goes on as its ``witness``, and so do the nodes that don't."""
-    cores = nodes.groupBy("x", "core").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 and open > 0").select("x", "core")
-    alive = table(rejoin(nodes, cores, ["x", "core"]), "suffix-alive")
-    hulls = alive.groupBy("x", "hull", "hull2").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "at")).alias("witness")).where("n > 1").drop("n")
+    cores = nodes.groupBy("kind", "x", "core").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 and open > 0").select("kind", "x", "core")
+    alive = table(rejoin(nodes, cores, ["kind", "x", "core"]), "suffix-alive")
+    hulls = alive.groupBy("kind", "x", "hull", "hull2").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "at")).alias("witness")).where("n > 1").drop("n")
     shared = F.col("witness").isNotNull()
-    out = rejoin(alive, hulls, ["x", "hull", "hull2"], "left", row_bytes=48).select(
-        "rid", "at", "lo", "hi", "x", "y", "done", shared.alias("shared"), (~shared | (F.col("witness") == F.xxhash64("rid", "at"))).alias("witness")
+    out = rejoin(alive, hulls, ["kind", "x", "hull", "hull2"], "left", row_bytes=56).select(
+        "rid", "kind", "at", "lo", "hi", "x", "y", "done", shared.alias("shared"), (~shared | (F.col("witness") == F.xxhash64("rid", "at"))).alias("witness")
     )
     return table(out, "suffix-nodes")
 
@@ -236,34 +243,42 @@ def entered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return keys_join(base, copies, "rid", "left").withColumn("copied", F.col("head").isNotNull()), copies
 
 
-def repeated_spans(rows: DataFrame, copies: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: str = "bytes") -> DataFrame:
-    """rid, a, b: ranges of ``length`` symbols that start anywhere else, too; they may overlap. Rows with an equal text
-    elsewhere have none: they repeat as a whole."""
+def _of(values, column: str = "kind"):
+    """The value of a row's kind."""
+    return F.get(F.array(*(F.lit(v).cast("long") for v in values)), F.col(column).cast("int"))
+
+
+def repeated_spans(rows: DataFrame, copies: DataFrame, kinds: tuple = (("bytes", LENGTH, GRAM), ("words", WORDS, WORD_GRAM))) -> DataFrame:
+    """rid, kind, spans of a, b: ranges of ``length`` symbols that start anywhere else, too; they may overlap. Rows with
+    an equal text elsewhere have none: they repeat as a whole.
+
+    kinds: (unit, length, gram), all judged in the same rounds; ``kind`` is the place in this list."""
     # One of each group of equal texts stands for them: it witnesses other documents' repeats and has no open node.
     heads = rows.where("not copied or head").select("rid", "text")
-    named = "rid long, at long, lo long, hi long, x long, y long, core long, hull long, hull2 long"
-    first = table(heads.mapInArrow(_first_nodes(length, gram, unit), named), "suffix-first")
+    named = "rid long, kind long, at long, lo long, hi long, x long, y long, core long, hull long, hull2 long"
+    first = table(heads.mapInArrow(_first_nodes(kinds), named), "suffix-first")
     first = keys_join(first, copies.select("rid", F.lit(True).alias("done")), "rid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     nodes = _judged(first)
     spans, texts = [nodes], None
-    width = (length - gram) // 2 + 1
-    while width > 1:
-        width = -(-width // SPLIT)
-        step = F.explode(F.sequence("x", "y", F.lit(width).cast("long"))).alias("x")
-        child = nodes.where("witness").select("rid", "at", "lo", "hi", "y", (F.col("done") | F.col("shared")).alias("done"), step)
-        child = child.withColumn("y", F.least(F.col("x") + width - 1, "y")).where("x <= hi and y >= lo")
-        pending = table(child.groupBy("rid").agg(F.collect_list(F.struct("at", "lo", "hi", "x", "y", "done")).alias("nodes")), "suffix-pending")
+    widths = [(length - gram) // 2 + 1 for _, length, gram in kinds]
+    while max(widths) > 1:
+        open_kinds = [k for k, w in enumerate(widths) if w > 1]
+        widths = [-(-w // SPLIT) for w in widths]
+        step = F.explode(F.sequence("x", "y", _of(widths))).alias("x")
+        child = nodes.where("witness").where(F.col("kind").isin(open_kinds)).select("rid", "kind", "at", "lo", "hi", "y", (F.col("done") | F.col("shared")).alias("done"), step)
+        child = child.withColumn("y", F.least(F.col("x") + _of(widths) - 1, "y")).where("x <= hi and y >= lo")
+        pending = table(child.groupBy("rid").agg(F.collect_list(F.struct("kind", "at", "lo", "hi", "x", "y", "done")).alias("nodes")), "suffix-pending")
         if texts is None:  # only the documents that may hold a repeat go on
             texts = table(keys_join(heads, pending.select("rid"), "rid", "left_semi"), "suffix-texts")
-        named = "rid long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long"
-        ranked = texts.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(length, unit), named)
+        named = "rid long, kind long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long"
+        ranked = texts.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(kinds), named)
         nodes = _judged(table(ranked, "suffix-ranks"))
         spans.append(nodes)
-    out = None
+    out, lengths = None, _of([length for _, length, _ in kinds])
     for s in spans:
-        s = s.where("shared and not done").select("rid", (F.col("at") - F.least("hi", "y")).alias("a"), (F.col("at") + length - F.greatest("lo", "x")).alias("b"))
+        s = s.where("shared and not done").select("rid", "kind", (F.col("at") - F.least("hi", "y")).alias("a"), (F.col("at") + lengths - F.greatest("lo", "x")).alias("b"))
         out = s if out is None else out.union(s)
-    return table(out.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
+    return table(out.groupBy("rid", "kind").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = WORDS, word_gram: int = WORD_GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,10 +290,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     are read. An empty table gives an empty result.
     """
     rows, copies = entered_texts(docs, id_col, text_col)
-    by_row = repeated_spans(rows, copies, length, gram)
+    spans = repeated_spans(rows, copies, (("bytes", length, gram), ("words", words, word_gram)))
+    by_row = spans.where("kind = 0").drop("kind")
     texts = keys_join(rows.where("not copied").select("rid", "text"), by_row.select("rid"), "rid", "left_semi").join(by_row, "rid")
     cut = texts.select("rid", "text", "spans").mapInArrow(_cut, "rid long, removed long, runs long, kept string")
-    passages = repeated_spans(rows, copies, words, word_gram, "words").select("rid", "spans").mapInArrow(_covered, "rid long, words long")
+    passages = spans.where("kind = 1").select("rid", "spans").mapInArrow(_covered, "rid long, words long")
     gone = F.col("copied") & (F.col("n_bytes") >= length)
     return rows.drop("text").join(cut, "rid", "left").join(passages, "rid", "left").select(
         "doc_id",
