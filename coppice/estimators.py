@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.binning import finite, to_category
 from .plans import nodes as trees
-from .plans.grow import Growth, grow, prepared
+from .plans.grow import Growth, grow, prepared, told_apart
 from .render import export_graphviz, export_text
 
 _INT, _FLOAT, _STR, _BOOL = TypeConverters.toInt, TypeConverters.toFloat, TypeConverters.toString, TypeConverters.toBoolean
@@ -24,7 +24,7 @@ class _TreeParams(Params):
     featuresCols = Param(Params._dummy(), "featuresCols", "feature columns, in order", TypeConverters.toListString)
     categoricalFeatures = Param(Params._dummy(), "categoricalFeatures", "positions of features that hold category ids", TypeConverters.toListInt)
     labelCol = Param(Params._dummy(), "labelCol", "label column", _STR)
-    idCol = Param(Params._dummy(), "idCol", "column of unique row keys; empty: a hash of the row's features and label", _STR)
+    idCol = Param(Params._dummy(), "idCol", "column of unique row keys; empty: a hash of the row's features and label, numbered where rows are equal", _STR)
     predictionCol = Param(Params._dummy(), "predictionCol", "prediction column", _STR)
     criterion = Param(Params._dummy(), "criterion", "impurity", _STR)
     maxDepth = Param(Params._dummy(), "maxDepth", "largest depth; negative: no bound", _INT)
@@ -40,6 +40,8 @@ class _TreeParams(Params):
     aggregator = Param(Params._dummy(), "aggregator", "how fold scores become one", _STR)
     aggFrac = Param(Params._dummy(), "aggFrac", "share cut at each end by trimmed_mean", _FLOAT)
     aggEps = Param(Params._dummy(), "aggEps", "added to the deviation by signal_to_noise", _FLOAT)
+    #: Callables that replace the parameter of the same name; a saved estimator keeps none, a model needs none.
+    custom_aggregator = custom_criterion = None
     aggLambda = Param(Params._dummy(), "aggLambda", "weight of the deviation in mean_minus_lambda_std", _FLOAT)
 
     def _defaults(self, **more) -> None:
@@ -53,21 +55,24 @@ class _TreeParams(Params):
 
     def _growth(self, **more) -> Growth:
         d = len(self._get("featuresCols"))
+        if not d:
+            raise ValueError("featuresCols is empty")
         categorical = tuple(sorted(set(self._get("categoricalFeatures"))))
         if any(not 0 <= i < d for i in categorical):
             raise ValueError(f"categoricalFeatures must be positions below {d}, got {list(categorical)}")
         depth = self._get("maxDepth")
         return Growth(
-            criterion=self._get("criterion"), max_depth=None if depth < 0 else depth, min_samples_split=self._get("minSamplesSplit"), min_samples_leaf=self._get("minSamplesLeaf"),
+            criterion=self.custom_criterion or self._get("criterion"), max_depth=None if depth < 0 else depth, min_samples_split=self._get("minSamplesSplit"), min_samples_leaf=self._get("minSamplesLeaf"),
             min_impurity_decrease=self._get("minImpurityDecrease"), n_bins=self._get("nBins"), cv_folds=self._get("cvFolds"), cv_seed=self._get("cvSeed"), cv_shuffle=self._get("cvShuffle"),
-            mode=self._get("mode"), split_style=self._get("splitStyle"), aggregator=getattr(self, "custom_aggregator", None) or self._get("aggregator"), agg_frac=self._get("aggFrac"),
+            mode=self._get("mode"), split_style=self._get("splitStyle"), aggregator=self.custom_aggregator or self._get("aggregator"), agg_frac=self._get("aggFrac"),
             agg_eps=self._get("aggEps"), agg_lambda=self._get("aggLambda"), categorical=categorical, **more,
         )
 
     def _rows(self, df: DataFrame, label, categorical) -> DataFrame:
         names = self._get("featuresCols")
         key = F.col(f"`{self._get('idCol')}`") if self._get("idCol") else F.md5(F.concat_ws("|", *(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("?")) for c in [*names, self._get("labelCol")])).cast("binary"))
-        return prepared(df, names, categorical, label, key)
+        rows = prepared(df, names, categorical, label, key)
+        return rows if self._get("idCol") else told_apart(rows)
 
     @staticmethod
     def _need_rows(n: int) -> None:
@@ -197,7 +202,7 @@ class TreeClassifier(Estimator, _TreeParams, MLReadable, MLWritable):
     average = Param(Params._dummy(), "average", "binary, micro, macro or weighted", _STR)
     posLabel = Param(Params._dummy(), "posLabel", "position of the positive class among the sorted labels", _INT)
     beta = Param(Params._dummy(), "beta", "beta of fbeta", _FLOAT)
-    custom_aggregator = None
+    custom_objective = None
 
     @keyword_only
     def __init__(self, **kwargs):
@@ -217,7 +222,7 @@ class TreeClassifier(Estimator, _TreeParams, MLReadable, MLWritable):
             raise ValueError("rows without a label")
         self._need_rows(len(classes))
         pos = self._get("posLabel")
-        growth = self._growth(n_classes=len(classes), objective=self._get("objective") or None, average=self._get("average"), pos_label=pos if 0 <= pos < len(classes) else 0, beta=self._get("beta"))
+        growth = self._growth(n_classes=len(classes), objective=self.custom_objective or self._get("objective") or None, average=self._get("average"), pos_label=pos if 0 <= pos < len(classes) else 0, beta=self._get("beta"))
         index = F.array_position(F.lit(classes), label).cast("int") - 1
         model = self._copyValues(TreeClassificationModel()._resetUid(self.uid))
         model.root, model.classes_ = grow(self._rows(df, index, growth.categorical), len(self._get("featuresCols")), growth), classes
@@ -234,8 +239,6 @@ class TreeClassifier(Estimator, _TreeParams, MLReadable, MLWritable):
 class TreeRegressor(Estimator, _TreeParams, MLReadable, MLWritable):
     """Labels are doubles; missing ones are an error."""
 
-    custom_aggregator = None
-
     @keyword_only
     def __init__(self, **kwargs):
         super().__init__()

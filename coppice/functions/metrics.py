@@ -61,7 +61,10 @@ def averaged(cm: Confusion, average: str, f: Callable[[Column, Column, Column],
     raise ValueError(f"average must be one of {AVERAGES}, got {average!r}")
 
 
-def metric(cm: Confusion, objective: str, average: str = "binary", pos_label: int = 1, beta: float = 1.0) -> Column:
+def metric(cm: Confusion, objective: str | Callable[[Confusion], Column], average: str = "binary", pos_label: int = 1, beta: float = 1.0) -> Column:
+    """A callable gets the confusion and returns a column; larger is better."""
+    if callable(objective):
+        return objective(cm)
     b = float(beta) ** 2
     forms = {
         "precision": lambda tp, fp, fn: safe_div(tp, tp + fp),

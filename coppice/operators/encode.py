@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .folds import splitters
+
 #: A list of distinct values is broadcast below this many; beyond it the join shuffles.
 BROADCAST_VALUES = 1_000_000
 
 
 def dense_index(rows: DataFrame, column: str) -> DataFrame:
-    """(column, code) with codes 0, 1, ... in the order of the values; missing values have none."""
+    """(column, code) with codes 0, 1, ... in the order of the values; missing values have none.
+
+    The values are cut into ranges, which are counted and then numbered each in a task of its own.
+    """
     distinct = rows.select(column).where(F.col(column).isNotNull()).distinct()
-    return distinct.select(column, (F.row_number().over(W.orderBy(column)) - 1).alias("code"))
+    cuts = splitters(distinct, column)
+    placed = distinct.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(column))) if cuts else F.lit(0))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(W.partitionBy("_range").orderBy(column)) - 1
+    out = placed.withColumn("_at", at).join(F.broadcast(counts.select("_range", before.alias("_before"))), "_range")
+    return out.select(column, (F.col("_at") + F.col("_before")).cast("int").alias("code"))
 
 
 def encoded(rows: DataFrame, column: str, out: str = "code") -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 _DIGITS = 3
-#: Without shuffling: ranges of row ids that are counted, and ids sampled to choose them.
-_RANGES, _SAMPLE = 64, 20_000
+#: Without shuffling: least number of ranges of row ids that are counted, rows of a range beyond it, and ids sampled to
+#: choose them.
+_RANGES, _RANGE_ROWS, _SAMPLE = 64, 1_000_000, 20_000
 
 
 def order_key(row_id: Column, n: Column, seed: int, shuffle: bool) -> Column:
@@ -25,11 +26,12 @@ def effective_k(n: Column, k: int) -> Column:
     return F.least(F.lit(max(k, 2)), n)
 
 
-def _splitters(rows: DataFrame, row_id: str) -> list:
+def splitters(rows: DataFrame, row_id: str) -> list:
     """Ids that cut the rows into ranges of like size; a sample decides how even they are, not the result."""
-    share = min(1.0, _SAMPLE / max(rows.count(), 1))
+    n = rows.count()
+    share, ranges = min(1.0, _SAMPLE / max(n, 1)), max(_RANGES, n // _RANGE_ROWS)
     found = sorted(r[0] for r in rows.select(row_id).sample(share, seed=0).limit(2 * _SAMPLE).collect())
-    return sorted(set(found[:: max(1, len(found) // _RANGES)]))[: _RANGES - 1]
+    return sorted(set(found[:: max(1, len(found) // ranges)]))[: ranges - 1]
 
 
 def assign_folds(rows: DataFrame, k: int = 5, seed: int = 42, shuffle: bool = True, node: str = "node", row_id: str = "row_id") -> DataFrame:
@@ -44,7 +46,7 @@ def assign_folds(rows: DataFrame, k: int = 5, seed: int = 42, shuffle: bool = Tr
     if shuffle:
         head = F.substring(F.col("_key.key"), 1, _DIGITS)
     else:
-        cuts = _splitters(rows, row_id)
+        cuts = splitters(rows, row_id)
         head = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(row_id))) if cuts else F.lit(0)
     keyed = keyed.withColumn("_head", head)
     counts = keyed.groupBy(node, "_n", "_head").agg(F.count("*").alias("_c"))

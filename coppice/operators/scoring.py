@@ -57,16 +57,20 @@ def sides(grid: DataFrame, names: list[str], ordered: Column) -> DataFrame:
     return grid.select(*GROUP, "fold", "code", *left, *(F.sum(n).over(every).alias(f"t_{n}") for n in names))
 
 
-def _impurity(names: list[str], criterion: str) -> Callable[[Callable[[str], Column]], tuple[Column, Column]]:
-    """(rows, impurity) of a side, given how to get a measure of it."""
+def _impurity(names: list[str], criterion: str | Callable[..., Column]) -> Callable[[Callable[[str], Column]], tuple[Column, Column]]:
+    """(rows, impurity) of a side, given how to get a measure of it. A callable gets the class counts and their sum, or a
+    target's count, sum and sum of squares, and returns a column."""
     if names[0] == "n":
-        return lambda get: (get("n"), criteria.variance(*(get(x) for x in "nsq")))
+        of = criterion if callable(criterion) else criteria.variance
+        return lambda get: (get("n"), of(*(get(x) for x in "nsq")))
+    if callable(criterion):
+        return lambda get: ((n := criteria.total([get(x) for x in names])), criterion([get(x) for x in names], n))
     if criterion not in criteria.CLASS_CRITERIA:
         raise ValueError(f"criterion must be one of {sorted(criteria.CLASS_CRITERIA)}, got {criterion!r}")
     return lambda get: ((n := criteria.total([get(x) for x in names])), criteria.CLASS_CRITERIA[criterion]([get(x) for x in names], n))
 
 
-def impurity_gains(split: DataFrame, names: list[str], criterion: str) -> DataFrame:
+def impurity_gains(split: DataFrame, names: list[str], criterion) -> DataFrame:
     """(node, feature, fold, code, gain); folds with an empty side are left out."""
     of = _impurity(names, criterion)
     nt, it = of(lambda x: F.col(f"t_{x}"))
@@ -76,7 +80,7 @@ def impurity_gains(split: DataFrame, names: list[str], criterion: str) -> DataFr
     return split.select(*GROUP, "fold", "code", gain.alias("gain")).where("gain is not null")
 
 
-def objective_gains(split: DataFrame, n_classes: int, objective: str, average: str, pos_label: int, beta: float) -> DataFrame:
+def objective_gains(split: DataFrame, n_classes: int, objective, average: str, pos_label: int, beta: float) -> DataFrame:
     """Gain of a metric over the parent's majority prediction. Measures v_* are validation, w_* training counts;
     sides predict their training majority; folds in which a side lacks either kind of row are left out."""
     get = lambda side, kind: [F.col(f"{side}_{kind}{i}") for i in range(n_classes)]

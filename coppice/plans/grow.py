@@ -28,8 +28,8 @@ class Growth:
     """All parameters of a fit; the defaults are those of the estimators."""
 
     n_classes: int = 0  # 0: regression
-    criterion: str = "gini"
-    objective: str | None = None
+    criterion: object = "gini"  # a name, or a callable as in scoring.impurity_gains
+    objective: object = None  # a name, or a callable over a Confusion
     average: str = "binary"
     pos_label: int = 1
     beta: float = 1.0
@@ -52,8 +52,8 @@ class Growth:
     def check(self) -> None:
         kinds = ("gini", "entropy") if self.n_classes else criteria.VALUE_CRITERIA
         for name, value, allowed in (
-            ("criterion", self.criterion, kinds), ("mode", self.mode, ("strict", "fast")), ("split_style", self.split_style, ("threshold", "bin", "bin_membership")),
-            ("objective", self.objective, (None, *OBJECTIVES)), ("average", self.average, AVERAGES), ("aggregator", self.aggregator if isinstance(self.aggregator, str) else REDUCERS[0], REDUCERS),
+            ("criterion", kinds[0] if callable(self.criterion) else self.criterion, kinds), ("mode", self.mode, ("strict", "fast")), ("split_style", self.split_style, ("threshold", "bin", "bin_membership")),
+            ("objective", None if callable(self.objective) else self.objective, (None, *OBJECTIVES)), ("average", self.average, AVERAGES), ("aggregator", self.aggregator if isinstance(self.aggregator, str) else REDUCERS[0], REDUCERS),
         ):
             if value not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}, got {value!r}")
@@ -71,6 +71,22 @@ def prepared(rows: DataFrame, features: list[str], categorical: tuple[int, ...],
     return rows.select(row_id.alias("row_id"), label.alias("y"), F.array(*x).alias("x"))
 
 
+#: Copies of a row that one task numbers.
+_COPIES = 10_000
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``prepared`` with copies of a row numbered from 0 in their row_id, so that they spread over the folds.
+
+    Equal rows are interchangeable: they are counted, and each count is spread out again in blocks, so that a row that
+    makes up most of the table is neither sorted nor written out by one task.
+    """
+    counted = rows.groupBy("row_id", "y", "x").agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(_COPIES).cast("long")))).repartition("row_id", "_at")
+    number = F.explode(F.sequence("_at", F.least(F.col("_at") + _COPIES, "_n") - 1)).alias("_i")
+    return blocks.select("row_id", "y", "x", number).select(F.concat_ws(":", "row_id", F.col("_i").cast("string")).alias("row_id"), "y", "x")
+
+
 def _edge_arrays(edges: DataFrame, keys: list[str], d: int) -> DataFrame:
     """One row for each key with an array of edge arrays by feature; features without edges have an empty one."""
     by = F.map_from_entries(F.collect_list(F.struct("feature", "edges")))
@@ -90,10 +106,16 @@ class Grower:
         self.rows, self.d, self.p, self.spark = rows, d, p, rows.sparkSession
         self.measures = scoring.class_measures(p.n_classes) if p.n_classes else scoring.moment_measures()
         self.names = list(self.measures)
+        self.held: list[DataFrame] = []
         cut = p.split_style == "threshold"
         self.ordered = (~F.col("feature").isin(*p.categorical) if p.categorical else F.lit(True)) if cut else F.lit(False)
         self.continuous = ~F.col("feature").isin(*p.categorical) if p.categorical else F.lit(True)
 
+    def _hold(self, df: DataFrame) -> DataFrame:
+        """Persisted until the level is done."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
     def _global_edges(self) -> list[list[float]]:
         cells = self.rows.select(F.posexplode("x").alias("feature", "v")).where(self.continuous)
         found = {r["feature"]: r["edges"] for r in quantile_edges(cells, ["feature"], "v", self.p.n_bins).collect()}
@@ -118,7 +140,7 @@ class Grower:
     def _score_fast(self, level: DataFrame, edges: list[list[float]]) -> DataFrame:
         p = self.p
         coded = scoring.unpivot(level, "codes", ["node", "fold", "y"])
-        cells = scoring.fold_cells(coded, self.measures, keep_missing=False).persist()
+        cells = self._hold(scoring.fold_cells(coded, self.measures, keep_missing=False))
         states = cells.select("node", "feature", F.col("code").alias("state")).distinct()
         top = F.get(F.array(*(F.lit(len(e)) for e in edges)), F.col("feature"))
         states = states.where(~self.ordered | (F.col("state") < top))
@@ -140,7 +162,8 @@ class Grower:
             joined = rows.withColumn("view", view.cast("int")).join(F.broadcast(arrays), keys, "left")
             return scoring.unpivot(joined.withColumn("codes", _coded(F.coalesce("edges", nothing), F.col("x"), p.categorical)), "codes", ["node", "fold", "y"])
 
-        states = coded(level, F.lit(-1)).where("code is not null").select("node", "feature", F.col("code").alias("state")).distinct().persist()
+        states = coded(level, F.lit(-1)).where("code is not null").select("node", "feature", F.col("code").alias("state")).distinct()
+        states = self._hold(states)
         val = coded(level, F.col("fold"))
         if p.criterion == "mae" and not p.n_classes:
             return scoring.candidates(scoring.mae_gains(val, states, self.ordered), states, p.aggregator, p.agg_frac, p.agg_eps, p.agg_lambda)
@@ -202,12 +225,15 @@ class Grower:
                     scored, edges_of = self._score_fast(level, fast), lambda w: fast[w["feature"]]
                 else:
                     cells = level.select("node", "fold", F.posexplode("x").alias("feature", "v")).where(self.continuous)
-                    edges = quantile_edges(cells, ["node", "feature"], "v", p.n_bins, "fold", p.cv_folds).persist()
+                    edges = quantile_edges(cells, ["node", "feature"], "v", p.n_bins, "fold", p.cv_folds)
+                    edges = self._hold(edges)
                     scored = self._score_strict(level, edges)
                     own = {(r["node"], r["feature"]): list(r["edges"]) for r in edges.where("view = -1").collect()}
                     edges_of = lambda w: own.get((w["node"], w["feature"]), [])
                 winners = {r["node"]: r for r in scoring.select_best(scored).select("node", "feature", "state", "score").collect()}
-                level.unpersist()
+                for kept in (level, *self.held):
+                    kept.unpersist()
+                self.held.clear()
                 parents = []
                 for n in opened:
                     w = winners.get(n.key)

@@ -6,8 +6,13 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.sql import functions as F
 
 from coppice.estimators import TreeClassifier, TreeRegressor
+from coppice.functions import criteria, metrics
+from coppice.operators.encode import dense_index
+from coppice.operators.folds import assign_folds
+from coppice.plans.grow import prepared, told_apart
 from coppice.streaming.score import score_stream
 
 
@@ -71,3 +76,37 @@ def test_errors(spark, separable):
         TreeRegressor(featuresCols=["x"], labelCol="x").fit(spark.createDataFrame([(1.0,), (math.nan,)], "x double"))
     with pytest.raises(ValueError):
         stump().fit(separable).transform(separable.drop("x"))
+
+
+def test_callable_criterion_and_objective(separable):
+    plain, mine = stump(), stump()
+    mine.custom_criterion = lambda counts, n: criteria.gini(counts, n)
+    assert mine.fit(separable).toText() == plain.fit(separable).toText()
+    plain, mine = stump(objective="accuracy"), stump()
+    mine.custom_objective = lambda cm: metrics.safe_div(criteria.total(cm.tp) * 1.0, cm.total)
+    assert mine.fit(separable).toText() == plain.fit(separable).toText()
+    of = dict(featuresCols=["x"], labelCol="y", idCol="id", maxDepth=1, mode="fast")
+    plain, mine = TreeRegressor(**of), TreeRegressor(**of)
+    mine.custom_criterion = criteria.variance
+    assert mine.fit(separable).toText() == plain.fit(separable).toText()
+
+
+def test_no_features():
+    with pytest.raises(ValueError, match="featuresCols is empty"):
+        TreeClassifier(featuresCols=[])._growth()
+
+
+@pytest.mark.parametrize("pieces", [1, 7])
+def test_equal_rows_spread_over_folds(spark, pieces):
+    rows = spark.createDataFrame([(i % 3, int(i % 3 == 1)) for i in range(120)], "c int, y int").repartition(pieces)
+    kept = told_apart(prepared(rows, ["c"], (0,), F.col("y"), F.col("c").cast("string"))).cache()
+    assert sorted(r["row_id"] for r in kept.collect()) == sorted(f"{c}:{n}" for c in range(3) for n in range(40))
+    folds = assign_folds(kept.withColumn("node", F.lit(0)), 5, 7).groupBy("fold").count().collect()
+    assert [r["count"] for r in folds] == [24] * 5
+
+
+def test_dense_index_in_ranges(spark):
+    rows = spark.createDataFrame([(f"v{i * 7919 % 1000}",) for i in range(3000)] + [(None,)], "v string")
+    want = {v: i for i, v in enumerate(sorted({f"v{i}" for i in range(1000)}))}
+    assert {r["v"]: r["code"] for r in dense_index(rows, "v").collect()} == want
+    assert dense_index(rows.where("v is null"), "v").count() == 0
