@@ -295,3 +295,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
     decisions, _ = jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, percent=90)
     return decisions.select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE b AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[a : a + 2], ' ') AS s FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS a FROM b)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+o AS (SELECT x.rid AS a, y.rid AS b, count(*) AS m FROM s x JOIN n nx ON x.rid = nx.rid JOIN s y ON x.s = y.s AND x.rid < y.rid JOIN n ny ON y.rid = ny.rid
+      WHERE 100 * least(nx.n, ny.n) >= 90 * greatest(nx.n, ny.n) GROUP BY x.rid, y.rid),
+l AS (SELECT a, b FROM o JOIN n x ON a = x.rid JOIN n y ON b = y.rid WHERE 100 * m >= 90 * (x.n + y.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT rid, rid FROM b UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT b.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM b LEFT JOIN n USING (rid) JOIN (SELECT r.a AS rid, min(doc_id) AS component_id FROM r JOIN b ON r.b = b.rid GROUP BY r.a) c USING (rid)
+"""

@@ -30,8 +30,10 @@ QUERIES = {
 }
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op3_suffix_dedup": suffix_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op6_jaccard_join": jaccard_join.SQL,
     "op8_secret_scan": secret_scan.SQL,
     "rule_ablation": quality_rules.ABLATION_SQL,
     "op9_exact_dedup": exact_dedup.SQL,

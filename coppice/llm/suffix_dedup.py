@@ -308,3 +308,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+WITH base AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT rid, doc_id, lower(hex(encode(text))) AS x, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM base),
+byte_at AS (SELECT rid, a, md5(substr(x, 2 * a + 1, 800)) AS h FROM (SELECT rid, x, unnest(range(0, length(x) // 2 - 399)) AS a FROM b)),
+byte_twice AS (SELECT rid, a FROM byte_at SEMI JOIN (SELECT h FROM byte_at GROUP BY h HAVING count(*) > 1) t USING (h)),
+byte_marks AS (SELECT rid, a, coalesce(a - lag(a) OVER (PARTITION BY rid ORDER BY a) > 400, true)::INT AS fresh FROM byte_twice),
+byte_runs AS (SELECT rid, min(a) AS a, max(a) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY rid ORDER BY a) AS g FROM byte_marks) GROUP BY rid, g),
+word_at AS (SELECT rid, a, md5(array_to_string(w[a + 1 : a + 50], ' ')) AS h FROM (SELECT rid, w, unnest(range(0, len(w) - 49)) AS a FROM b)),
+word_twice AS (SELECT rid, a FROM word_at SEMI JOIN (SELECT h FROM word_at GROUP BY h HAVING count(*) > 1) t USING (h)),
+word_new AS (SELECT rid, least(50, coalesce(a - lag(a) OVER (PARTITION BY rid ORDER BY a), 50)) AS n FROM word_twice),
+gone AS (SELECT rid, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM byte_runs GROUP BY rid),
+cuts AS (SELECT rid, a, b FROM byte_runs UNION ALL SELECT rid, length(x) // 2, length(x) // 2 FROM b),
+gaps AS (SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a, b), 0) AS a, a AS b FROM cuts),
+kept AS (SELECT rid, string_agg(substr(x, 2 * gaps.a + 1, 2 * (gaps.b - gaps.a)), '' ORDER BY gaps.a, gaps.b) AS x FROM gaps JOIN b USING (rid) GROUP BY rid),
+words AS (SELECT rid, sum(n)::BIGINT AS n FROM word_new GROUP BY rid)
+SELECT b.doc_id, (length(b.x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(kept.x)) AS kept_sha256, coalesce(words.n, 0)::BIGINT AS n_repeat_words
+FROM b JOIN kept USING (rid) LEFT JOIN gone USING (rid) LEFT JOIN words USING (rid)
+"""
