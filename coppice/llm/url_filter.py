@@ -6,10 +6,12 @@ links are aliases: connected components over those edges carry a block to every
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import keys_join, narrowed, table
+from ._common import keys_join, narrowed, rejoin, table
 from ._components import components
 
 #: (host, path prefix, verdict).
@@ -19,8 +21,8 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-#: A list of rules becomes one expression; longer lists than this are refused.
-MAX_RULES = 500
+#: Up to so many rules become one expression; longer lists are joined. Both give the same.
+EXPRESSION_RULES = 200
 
 _HOST = "(?s)^.*?://([^/?#]*)"
 _PATH = "(?s)^.*?://[^/?#]*([^?#]*)"
@@ -50,8 +52,6 @@ def key_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """(rule, verdict) of the longest rule that fits; of equally long ones an allow, then the first by text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for h, p, verdict in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[2] == "allow", r[0] + r[1])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -59,6 +59,31 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def with_rule(rows: DataFrame, host: str, path: str, out: str, rules) -> DataFrame:
+    """``rows`` with ``rule_of`` its columns ``host`` and ``path``. rules: a list, or a DataFrame of host, path, verdict.
+
+    A long list meets the distinct places by equal keys only: each suffix of a host is joined with the lengths of that
+    host's rules, then with the rules themselves by the path's first so many characters.
+    """
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= EXPRESSION_RULES:
+            return rows.withColumn(out, rule_of(F.col(host), F.col(path), rules))
+        listed = F.from_json(F.lit(json.dumps(rules)), "array<array<string>>")
+        rules = rows.sparkSession.range(1).select(F.explode(listed).alias("r")).select(*(F.col("r")[i].alias(n) for i, n in enumerate(("host", "path", "verdict"))))
+    rule = F.concat("host", "path")
+    best = F.max(F.struct(F.length(rule).alias("n"), (F.col("verdict") == "allow").alias("allow"), rule.alias("rule"), "verdict"))
+    known = table(rules.groupBy("host", F.col("path").alias("prefix")).agg(best.alias("best")), "url-rules")
+    widths = table(known.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("widths")), "url-widths")
+    parts = F.split("h", "[.]")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    places = table(rows.select(F.col(host).alias("h"), F.col(path).alias("p")).distinct().select("h", "p", F.explode(suffixes).alias("host")), "url-places")
+    tried = keys_join(places, widths, "host", "inner", 200).select("h", "p", "host", F.explode("widths").alias("w")).where(F.col("w") <= F.length("p"))
+    tried = tried.select("h", "p", "host", F.col("p").substr(F.lit(1), F.col("w")).alias("prefix"))
+    found = keys_join(tried, known, ["host", "prefix"], "inner", 400).groupBy("h", "p").agg(F.max("best").alias("best"))
+    found = found.select(F.col("h").alias(host), F.col("p").alias(path), F.struct("best.rule", "best.verdict").alias(out))
+    return rejoin(rows, found, [host, path], "left", row_bytes=400)
+
+
 def _without_dots(path: Column) -> Column:
     """A rooted path with its ``.`` and ``..`` parts applied."""
     start = F.expr("cast(array() as array<string>)")
@@ -95,7 +120,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
 def url_filter(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """page_id, host, path, rule, verdict, via_alias for each row of ``pages``, repeated rows too.
 
-    edges: further (url, target) redirects, beside those in the html. A rule that fits a page decides it; else it is
+    edges: further (url, target) redirects, beside those in the html. rules: as in ``with_rule``. A rule that fits a page decides it; else it is
     blocked if any of its aliases is blocked by rule, and allowed otherwise. Null urls and urls without ``://`` have an
     empty host and path, fit no rule, have no aliases and are allowed. An empty table gives an empty result.
     """
@@ -104,11 +129,13 @@ def url_filter(pages: DataFrame, edges: DataFrame | None = None, rules=RULES, id
     if edges is not None:
         links = links.union(edges.select("url", "target").where("url is not null and target is not null"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    judged = rows.select("page_id", host.alias("host"), path.alias("path"), F.xxhash64(key_of(F.col("url"))).alias("node")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
-    ends = lambda c: F.struct(F.xxhash64(key_of(F.col(c))).alias("node"), (rule_of(host_of(F.col(c)), path_of(F.col(c)), rules)["verdict"] == "block").alias("blocked"))
-    links = table(links.select(ends("url").alias("a"), ends("target").alias("b")), "url-links")
+    judged = rows.select("page_id", host.alias("host"), path.alias("path"), F.xxhash64(key_of(F.col("url"))).alias("node"))
+    judged = with_rule(judged, "host", "path", "r", rules)
+    end = lambda c: F.struct(F.xxhash64(key_of(F.col(c))).alias("node"), host_of(F.col(c)).alias("host"), path_of(F.col(c)).alias("path"))
+    links = table(links.select(end("url").alias("a"), end("target").alias("b")), "url-links")
     tree = components(links.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
-    bad = links.select(F.explode(F.array("a", "b")).alias("n")).where("n.blocked").select(F.col("n.node").alias("node")).distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("n")).select("n.*")
+    bad = with_rule(ends, "host", "path", "r", rules).where("r.verdict = 'block'").select("node").distinct()
     roots = tree.join(bad, "node").select("root").distinct()
     nodes = table(tree.join(roots, "root").select("node").distinct().withColumn("hit", F.lit(True)), "url-blocked")
     out = keys_join(judged, nodes, "node", "left")
