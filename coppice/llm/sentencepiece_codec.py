@@ -93,7 +93,8 @@ class Codec:
         return b"".join(self.codes[b] for b in piece.encode()) if self.byte_ids else self.codes[None]
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Ids of each word as little-endian int32, for distinct words in any order."""
+        """Ids of each word as little-endian int32, for distinct words in any order. Of equal unigram scores the longest
+        last piece wins; the library's choice there hangs on its 32-bit sums over the whole text."""
         out, previous = {}, ""
         if self.n_pairs > CACHED_PAIRS:
             self.pairs, self.n_pairs = {}, 0
@@ -125,6 +126,12 @@ class Codec:
                                 if end <= LONG:
                                     coded.append(coded[begin] + (codes.get(piece) or self._code(piece)))
                                 break
+                    else:  # no piece before stays as it is: merge the whole prefix
+                        pieces = self._merged(word[:end])
+                        last.append(pieces[-1])
+                        after.append(pairs.setdefault(pieces[-1], {}))
+                        if end <= LONG:
+                            coded.append(b"".join(map(self._code, pieces)))
                 else:
                     best = None
                     for begin in range(max(0, end - longest), end):
@@ -170,7 +177,11 @@ def encode_texts(codec: Codec, texts: list[str], cache: dict[str, bytes]) -> Ite
         new.difference_update(cache)
         cache.update(codec.encode_words(new))
         for text in texts[at:end]:
-            yield np.frombuffer(b"".join(map(cache.__getitem__, codec.words(codec.marked(text)))), "<i4")
+            ids = np.frombuffer(b"".join(map(cache.__getitem__, codec.words(codec.marked(text)))), "<i4")
+            if len(ids) and not codec.byte_ids:  # a run of unknown characters is one unknown piece
+                unknown = ids == codec.unknown
+                ids = ids[~(unknown & np.concatenate(([False], unknown[:-1])))]
+            yield ids
         if len(cache) > CACHED_WORDS:
             cache.clear()
         at = end
