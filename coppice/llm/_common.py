@@ -35,11 +35,13 @@ _scratch: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
     global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="coppice-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
