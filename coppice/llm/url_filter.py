@@ -85,11 +85,29 @@ def with_rule(rows: DataFrame, host: str, path: str, out: str, rules) -> DataFra
 
 
 def _without_dots(path: Column) -> Column:
-    """A rooted path with its ``.`` and ``..`` parts applied."""
-    start = F.expr("cast(array() as array<string>)")
-    last = F.when(F.element_at(F.split(path, "/"), -1).isin(".", ".."), F.array(F.lit(""))).otherwise(start)
-    step = lambda acc, x: F.when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
-    return F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(F.split(F.substr(path, F.lit(2)), "/"), start, step), last), "/"))
+    """A rooted path with its ``.`` and ``..`` parts applied.
+
+    Parts are folded in blocks of the square root of their number, then the blocks: a fold copies its list at each step.
+    """
+    start = F.expr("named_struct('up', 0, 'kept', cast(array() as array<string>))")
+    none = F.expr("cast(array() as array<string>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        up, kept = acc["up"], acc["kept"]
+        fewer = F.struct(F.when(F.size(kept) == 0, up + 1).otherwise(up).alias("up"), F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))).alias("kept"))
+        return F.when(x == "..", fewer).when(x == ".", acc).otherwise(F.struct(up.alias("up"), F.concat(kept, F.array(x)).alias("kept")))
+
+    def joined(parts: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / wide).cast("int")), lambda i: F.slice(parts, i * wide + 1, wide))
+        folded = F.transform(blocks, lambda block: F.aggregate(block, start, step))
+        kept = F.aggregate(folded, none, lambda acc, x: F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - x["up"], F.lit(0))), x["kept"]))
+        last = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))
+
+    # The lambda's variable holds the parts: written out, the split would be made again for each block.
+    split = F.transform(F.array(F.split(F.substr(path, F.lit(2)), "/")), joined)
+    return F.when(path.contains("/."), F.get(split, F.lit(0))).otherwise(path)
 
 
 def _resolved(target: Column, url: Column) -> Column:

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coppice.llm import exact_dedup, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, url_filter
 
@@ -341,6 +342,25 @@ def test_relative_links(spark):
     assert {r["page_id"] for r in out.where("via_alias").collect()} >= {100, 103, 104}
 
 
+def test_dots_of_paths(spark):
+    r = random.Random(10)
+    paths = ["/" + "/".join(r.choice(["a", "b", "", ".", "..", "..", ".c"]) for _ in range(r.randint(1, 30))) for _ in range(400)]
+    paths += ["/" + "x/" * 200_000 + "../" * 100_000 + "y", "/" + "../x/" * 100_000]
+
+    def plain(path):
+        parts, out = path[1:].split("/"), []
+        for x in parts:
+            if x == "..":
+                del out[-1:]
+            elif x != ".":
+                out.append(x)
+        return "/" + "/".join(out + [""] * (parts[-1] in (".", "..")))
+
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    got = df.select("path", url_filter._without_dots(F.col("path")).alias("out")).collect()
+    assert all(x["out"] == plain(x["path"]) for x in got)
+
+
 def test_source_mix(docs, rows, empty):
     got = source_mix.mix_sources(docs).collect()
     assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
