@@ -39,6 +39,8 @@ WORDS = 50
 WORD_GRAM = 6
 #: Into how many parts a node is split in each round.
 SPLIT = 4
+#: Rows that a Python step holds in lists and arrays at once; Arrow's batches have up to 10,000.
+SLICE = 500
 
 _RNG = np.random.default_rng(41)
 _TABLES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -107,10 +109,14 @@ def anchors(hasher: Hasher, size: int, length: int, gram: int) -> tuple[np.ndarr
     return at[first], first, np.append(first[1:] - 1, windows - 1)
 
 
+def _slices(batches: Iterator) -> Iterator:
+    return (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+
 def _read(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         raw = text_bytes(batch.column(2))
         digests = [hashlib.sha256(x).digest() for x in raw]
         yield pa.RecordBatch.from_arrays(
@@ -134,7 +140,7 @@ def _first_nodes(kinds: tuple):
         import pyarrow as pa
 
         hasher = Hasher()
-        for batch in batches:
+        for batch in _slices(batches):
             found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(10)]
             for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 for kind, (unit, length, gram) in enumerate(kinds):
@@ -162,20 +168,23 @@ def _next_nodes(kinds: tuple):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["rid", "kind", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
         hasher = Hasher()
-        for batch in batches:
+        for batch in _slices(batches):
+            found: list[list[np.ndarray]] = [[] for _ in names]
             for rid, text, nodes in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2), strict=True):
-                which = nodes.values.field(0).to_numpy()
+                fields = [nodes.values.field(k).to_numpy(zero_copy_only=False) for k in range(7)]
                 for kind, (unit, length, _) in enumerate(kinds):
-                    mine = np.flatnonzero(which == kind)
+                    mine = np.flatnonzero(fields[0] == kind)
                     if not len(mine):
                         continue
                     hasher.load(symbols(text, unit))
-                    at, lo, hi, x, y = (nodes.values.field(k).to_numpy()[mine] for k in range(1, 6))
-                    ranks = _ranks(hasher, length, at, lo, hi, x, y)
-                    names = ["rid", "kind", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
-                    same = (pa.array(np.full(len(at), v, np.int64)) for v in (rid, kind))
-                    yield pa.RecordBatch.from_arrays([*same, *map(pa.array, (at, lo, hi, x, y)), nodes.values.field(6).take(pa.array(mine)), *map(pa.array, ranks)], names)
+                    at, lo, hi, x, y, done = (f[mine] for f in fields[1:])
+                    same = (np.full(len(at), v, np.int64) for v in (rid, kind))
+                    for column, v in zip(found, (*same, at, lo, hi, x, y, done, *_ranks(hasher, length, at, lo, hi, x, y)), strict=True):
+                        column.append(v)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names)
 
     return run
 
@@ -208,7 +217,7 @@ def _cut(batches: Iterator) -> Iterator:
     """What is left of each text without its repeated bytes."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         out = []
         for rid, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             kept, end, runs = hashlib.sha256(), 0, runs_of(spans)
@@ -225,7 +234,7 @@ def _covered(batches: Iterator) -> Iterator:
     """How many words the spans of each row cover."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in _slices(batches):
         n = [sum(b - a for a, b in runs_of(spans)) for spans in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["rid", "words"])
 
