@@ -36,9 +36,15 @@ def variance(n: Column, s: Column, q: Column) -> Column:
 
 def mae(values: Column) -> Column:
     """Mean absolute deviation of an array from its median (the midpoint for an even number of values)."""
-    v, n = F.array_sort(values), F.size(values)
-    median = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
-    return F.when(n > 0, F.aggregate(F.transform(v, lambda x: F.abs(x - median)), F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
+
+    # What a lambda names is computed once; written out, the sort would be repeated for each value.
+    def around(v: Column) -> Column:
+        n = F.size(v)
+        median = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+        spread = F.transform(F.array(median), lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x - m)) / n)
+        return F.when(n > 0, F.get(spread, F.lit(0))).otherwise(0.0)
+
+    return F.get(F.transform(F.array(F.array_sort(values)), around), F.lit(0))
 
 
 CLASS_CRITERIA: dict[str, Callable] = {"gini": gini, "entropy": entropy}

@@ -66,3 +66,15 @@ def quantile_edges(cells: DataFrame, group: list[str], value: str, n_bins: int,
     found = found.withColumn("_hi", upper).withColumn("_n", count).where("rank < _hi and rank >= _hi - _n")
     edges = F.transform(F.array_sort(F.collect_list(F.struct("i", "_v"))), lambda p: p["_v"])
     return found.groupBy(*group, "view").agg(edges.alias("edges"))
+
+
+def medians(cells: DataFrame, group: list[str], value: str) -> DataFrame:
+    """(group, median): the midpoint of the two middle values. Nulls don't count; NaN and infinities are the outermost.
+
+    With two bins the edge of m values has rank m div 2; that of the negated values has rank (m - 1) div 2 from below.
+    Groups without a value give no row."""
+    v, most = F.col(value).cast("double"), F.lit(1.7976931348623157e308)
+    ends = F.when(v.isNotNull(), F.greatest(F.least(v, most), -most))  # null stays null: least and greatest skip it
+    signed = F.explode(F.array(*(F.struct(F.lit(s).alias("_sign"), (ends * s).alias("_value")) for s in (1, -1)))).alias("_s")
+    both = cells.select(*group, signed).select(*group, "_s.*")
+    return quantile_edges(both, [*group, "_sign"], "_value", 2, ranges=16).groupBy(*group).agg(F.sum(F.col("edges")[0] / 2 * F.col("_sign")).alias("median"))

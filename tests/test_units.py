@@ -176,3 +176,16 @@ def test_bad_parameters(bad):
 def test_mae_needs_strict():
     with pytest.raises(ValueError):
         Growth(criterion="mae", mode="fast").check()
+
+
+def test_mae_by_group_of_odd_and_large_groups(spark, tmp_path):
+    import time
+
+    from coppice.queries import QUERIES
+
+    rows = [(1, float(v * 7919 % 30_000)) for v in range(30_000)] + [(2, None), (2, None), (3, 4.0), (3, None), (3, 1.0), (None, 2.0), (None, 2.0), (None, 8.0), (4, math.inf), (4, 1.0), (4, 2.0), (5, math.nan), (5, 1.0)]
+    spark.createDataFrame(rows, "p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    begun = time.time()
+    got = {r["p_size"]: r["impurity"] for r in QUERIES["mae_by_group"](spark, str(tmp_path)).collect()}
+    assert time.time() - begun < 60  # sorting the group for each of its values took minutes
+    assert math.isnan(got.pop(5)) and got == {1: 7500.0, 2: None, 3: 1.5, None: 2.0, 4: math.inf}
