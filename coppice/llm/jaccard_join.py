@@ -217,6 +217,13 @@ class _Join:
         return table(full.mapInArrow(_linked(self.words, self.percent), "a long, b long"), "jaccard-links"), n
 
 
+def _distinct_groups(keys: DataFrame) -> DataFrame:
+    """(key, head) of the groups of two or more; of groups with the same members one stands for all, as it has the same
+    pairs. Members are compared by their number, the first one and a 64-bit sum of their hashes."""
+    groups = keys.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("rid")).alias("members"))
+    return groups.where("c > 1").groupBy("head", "c", "members").agg(F.min("key").alias("key")).select("key", "head")
+
+
 def _pairs(join: _Join, members: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs (a, b) of a member and another one of its group that lie in different components and may be a link."""
     left, right = (x.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "root", "n", *BITS))) for s, x in (("a", others), ("b", members)))
@@ -274,8 +281,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     firsts = keys_join(texts.select("rid", "text"), copies, "rid", "left_anti")
     index = table(firsts.mapInArrow(_prefixes(words, percent, levels), f"rid long, n long, {', '.join(f'{m} long' for m in BITS)}, p1 array<bigint>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
     keys = index.select("rid", F.explode("p1").alias("key"))
-    groups = keys.groupBy("key").agg(F.min("rid").alias("head"), F.count("*").alias("c")).where("c > 1").select("key", "head")
-    shared = table(rejoin(keys, groups, "key", row_bytes=24), "jaccard-shared")
+    shared = table(rejoin(keys, _distinct_groups(keys), "key", row_bytes=24), "jaccard-shared")
     join = _Join(texts, index, words, percent)
     stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     stars = stars.join(join.side("a", "a", "n"), "a").join(join.side("b", "b", "n"), "b").where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")

@@ -575,3 +575,11 @@ def test_no_local_checkpoint():
 
     for p in Path(coppice.llm.__file__).parent.glob("*.py"):
         assert "localCheckpoint" not in p.read_text()
+
+
+def test_jaccard_groups_of_the_same_members(spark):
+    """A group stands for all that have its members; one that has others stays, too."""
+    sets = {1: (10, 11), 2: (10, 11), 3: (10, 11, 12), 4: (10, 12), 5: (13,)}
+    keys = spark.createDataFrame([(rid, key) for key, rids in sets.items() for rid in rids], "rid long, key long")
+    got = {(r["key"], r["head"]) for r in jaccard_join._distinct_groups(keys).collect()}
+    assert got == {(1, 10), (3, 10), (4, 10)}
