@@ -97,6 +97,12 @@ def rejoin(df: DataFrame, totals: DataFrame, on: str | list[str], how: str = "in
     return keys_join(df, table(totals, "totals"), on, how, row_bytes)
 
 
+def shuffled(df: DataFrame, totals: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``rejoin`` for totals whose number grows with the rows': shuffled at every size, so that a small run does the
+    work of a large one. As there, both sides are shuffled for this join alone."""
+    return df.join(table(totals, "totals").hint("merge"), on, how)
+
+
 def sized(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     """``df``, marked for broadcast only if its known number of rows is small enough."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import entered, keys_join, mix, rejoin, table, text_bytes, word_hashes
+from ._common import entered, keys_join, mix, rejoin, shuffled, table, text_bytes, word_hashes
 from ._components import components
 
 #: Counters of the frequency sketch (4 bytes each) as a power of two; its size does not depend on the input.
@@ -281,7 +281,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     firsts = keys_join(texts.select("rid", "text"), copies, "rid", "left_anti")
     index = table(firsts.mapInArrow(_prefixes(words, percent, levels), f"rid long, n long, {', '.join(f'{m} long' for m in BITS)}, p1 array<bigint>, p2 array<int>, p3 array<int>"), "jaccard-prefixes")
     keys = index.select("rid", F.explode("p1").alias("key"))
-    shared = table(rejoin(keys, _distinct_groups(keys), "key", row_bytes=24), "jaccard-shared")
+    shared = table(shuffled(keys, _distinct_groups(keys), "key"), "jaccard-shared")
     join = _Join(texts, index, words, percent)
     stars = shared.where("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     stars = stars.join(join.side("a", "a", "n"), "a").join(join.side("b", "b", "n"), "b").where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coppice.llm import exact_dedup, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, url_filter
+from coppice.llm import _common, exact_dedup, jaccard_join, line_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, source_mix, suffix_dedup, url_filter
 
 WS = "\x20\x09-\x0d"
 WORD = re.compile(f"[^{WS}]+")
@@ -583,3 +583,12 @@ def test_jaccard_groups_of_the_same_members(spark):
     keys = spark.createDataFrame([(rid, key) for key, rids in sets.items() for rid in rids], "rid long, key long")
     got = {(r["key"], r["head"]) for r in jaccard_join._distinct_groups(keys).collect()}
     assert got == {(1, 10), (3, 10), (4, 10)}
+
+
+def test_shuffled_join_has_one_plan(spark):
+    """A join with totals that grow with the input is not a broadcast on small inputs."""
+    rows = spark.range(100).withColumn("key", F.col("id") % 7)
+    joined = _common.shuffled(rows, rows.groupBy("key").agg(F.count("*").alias("n")).where("key > 0"), "key")
+    assert joined.count() == 85
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
