@@ -17,8 +17,9 @@ may be shorter than ``length`` bytes. There a symbol is a word's 64-bit hash ins
 
 Ranks are 128-bit hashes of the context's symbols, two 64-bit ones from prefix sums over random values; only their
 equality matters, so no order of ranks is computed. Spark's shuffles count equal ranks with partial sums; a
-passage of a million copies is a key with a million small rows that are counted on the map side and joined back to its
-written count, never paired; that join can split the key's rows.
+passage of a million copies is a key with a million small rows that are counted on the map side. Shared cores are only a
+sieve, which is broadcast, for the anchors, and hulls decide; a shared hull's rows are joined back to its written count,
+never paired, by a join that can split the key's rows. Up to SIFT_KEYS cores these joins have one plan.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import entered, keys_join, mix, rejoin, table, text_bytes, word_hashes
+from ._common import entered, hashed, keys_join, mix, rejoin, shuffled, sieve, sifted, table, text_bytes, word_hashes
 
 LENGTH = 400
 GRAM = 32
@@ -134,15 +135,15 @@ def _ranks(hasher: Hasher, length: int, at, lo, hi, x, y) -> list[np.ndarray]:
 
 
 def _first_nodes(kinds: tuple):
-    """For each anchor of each kind its two nodes: offsets x..y, the core's rank, and the rank of the hull of its own offsets."""
+    """For each anchor of each kind its two nodes: offsets x..y, whether its text is done, the core's rank, and the rank of the hull of its own offsets."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hasher = Hasher()
         for batch in _slices(batches):
-            found: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(10)]
-            for rid, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
+            found: list[list[np.ndarray]] = [[np.empty(0, bool if k == 7 else np.int64)] for k in range(11)]
+            for rid, text, over in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for kind, (unit, length, gram) in enumerate(kinds):
                     if len(text) < length or len(data := symbols(text, unit)) < length:
                         continue
@@ -154,9 +155,9 @@ def _first_nodes(kinds: tuple):
                         mine = (lo <= y) & (hi >= x)
                         at, lo, hi = place[mine], lo[mine], hi[mine]
                         rids, ks, xs, ys = (np.full(len(at), v, np.int64) for v in (rid, kind, x, y))
-                        for column, v in zip(found, (rids, ks, at, lo, hi, xs, ys, *_ranks(hasher, length, at, lo, hi, x, y)), strict=True):
+                        for column, v in zip(found, (rids, ks, at, lo, hi, xs, ys, np.full(len(at), over), *_ranks(hasher, length, at, lo, hi, x, y)), strict=True):
                             column.append(v)
-            names = ["rid", "kind", "at", "lo", "hi", "x", "y", "core", "hull", "hull2"]
+            names = ["rid", "kind", "at", "lo", "hi", "x", "y", "done", "core", "hull", "hull2"]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names)
 
     return run
@@ -191,12 +192,15 @@ def _next_nodes(kinds: tuple):
 
 def _judged(nodes: DataFrame) -> DataFrame:
     """The nodes that share their core with another anchor, one of them open. ``shared``: the hull is shared, too, so
-    all windows repeat; one anchor of each shared hull goes on as its ``witness``, and so do the nodes that don't."""
-    cores = nodes.groupBy("kind", "x", "core").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 and open > 0").select("kind", "x", "core")
-    alive = table(rejoin(nodes, cores, ["kind", "x", "core"]), "suffix-alive")
+    all windows repeat; one anchor of each shared hull goes on as its ``witness``, and so do the nodes that don't.
+
+    Cores are sifted, so a few nodes whose core is unique stay: their hull, which is counted exactly, is unique, too."""
+    by = ["kind", "x", "core"]
+    cores = nodes.groupBy(hashed(by).alias("key")).agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("open")).where("n > 1 and open > 0").select("key")
+    alive = table(sifted(nodes, by, sieve(table(cores, "suffix-cores"), 2)).drop("core"), "suffix-alive")
     hulls = alive.groupBy("kind", "x", "hull", "hull2").agg(F.count("*").alias("n"), F.min(F.xxhash64("rid", "at")).alias("witness")).where("n > 1").drop("n")
     shared = F.col("witness").isNotNull()
-    out = rejoin(alive, hulls, ["kind", "x", "hull", "hull2"], "left", row_bytes=56).select(
+    out = shuffled(alive, hulls, ["kind", "x", "hull", "hull2"], "left").select(
         "rid", "kind", "at", "lo", "hi", "x", "y", "done", shared.alias("shared"), (~shared | (F.col("witness") == F.xxhash64("rid", "at"))).alias("witness")
     )
     return table(out, "suffix-nodes")
@@ -240,16 +244,20 @@ def _covered(batches: Iterator) -> Iterator:
 
 
 def entered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, copies). rows: rid, doc_id, text, n_bytes, n_words, digest, copied (an equal text exists), head (first of
-    these). copies: rid and head of the rows with an equal text."""
+    """(rows, copies). rows: rid, doc_id, text, n_bytes, n_words, digest. copies: rid of the rows with an equal text, and
+    whether it is the head (first) of these."""
     base = table(
         entered(docs, id_col, text_col, None).mapInArrow(_read, "rid long, doc_id long, text string, n_bytes long, n_words long, digest binary"),
         "suffix-rows",
     )
     classes = base.groupBy("digest").agg(F.count("*").alias("copies"), F.min("rid").alias("first")).where("copies > 1")
     copies = rejoin(base.select("rid", "digest"), classes, "digest", row_bytes=64).select("rid", (F.col("rid") == F.col("first")).alias("head"))
-    copies = table(copies, "suffix-copies")
-    return keys_join(base, copies, "rid", "left").withColumn("copied", F.col("head").isNotNull()), copies
+    return base, table(copies, "suffix-copies")
+
+
+def _of_rows(texts: DataFrame, rids: DataFrame) -> DataFrame:
+    """The texts of these rows and a few others."""
+    return sifted(texts, "rid", sieve(table(rids.select(hashed("rid").alias("key")).distinct(), "suffix-rids")))
 
 
 def _of(values, column: str = "kind"):
@@ -263,12 +271,13 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, kinds: tuple = (("bytes",
 
     kinds: (unit, length, gram), all judged in the same rounds; ``kind`` is the place in this list."""
     # One of each group of equal texts stands for them: it witnesses other documents' repeats and has no open node.
-    heads = rows.where("not copied or head").select("rid", "text")
-    named = "rid long, kind long, at long, lo long, hi long, x long, y long, core long, hull long, hull2 long"
+    texts, equal = rows.select("rid", "text"), sieve(copies.select(hashed("rid").alias("key")))
+    copied = sifted(texts, "rid", equal).join(copies.hint("merge"), "rid", "left").where("head is null or head").select("rid", "text", F.col("head").isNotNull().alias("done"))
+    heads = sifted(texts, "rid", equal, "left_anti").withColumn("done", F.lit(False)).union(copied)
+    named = "rid long, kind long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long"
     first = table(heads.mapInArrow(_first_nodes(kinds), named), "suffix-first")
-    first = keys_join(first, copies.select("rid", F.lit(True).alias("done")), "rid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
     nodes = _judged(first)
-    spans, texts = [nodes], None
+    spans, held = [nodes], None
     widths = [(length - gram) // 2 + 1 for _, length, gram in kinds]
     while max(widths) > 1:
         open_kinds = [k for k, w in enumerate(widths) if w > 1]
@@ -277,10 +286,9 @@ def repeated_spans(rows: DataFrame, copies: DataFrame, kinds: tuple = (("bytes",
         child = nodes.where("witness").where(F.col("kind").isin(open_kinds)).select("rid", "kind", "at", "lo", "hi", "y", (F.col("done") | F.col("shared")).alias("done"), step)
         child = child.withColumn("y", F.least(F.col("x") + _of(widths) - 1, "y")).where("x <= hi and y >= lo")
         pending = table(child.groupBy("rid").agg(F.collect_list(F.struct("kind", "at", "lo", "hi", "x", "y", "done")).alias("nodes")), "suffix-pending")
-        if texts is None:  # only the documents that may hold a repeat go on
-            texts = table(keys_join(heads, pending.select("rid"), "rid", "left_semi"), "suffix-texts")
-        named = "rid long, kind long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long"
-        ranked = texts.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(kinds), named)
+        if held is None:  # only the documents that may hold a repeat go on
+            held = table(_of_rows(texts, pending), "suffix-texts")
+        ranked = held.join(pending, "rid").select("rid", "text", "nodes").mapInArrow(_next_nodes(kinds), named)
         nodes = _judged(table(ranked, "suffix-ranks"))
         spans.append(nodes)
     out, lengths = None, _of([length for _, length, _ in kinds])
@@ -301,11 +309,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, word
     rows, copies = entered_texts(docs, id_col, text_col)
     spans = repeated_spans(rows, copies, (("bytes", length, gram), ("words", words, word_gram)))
     by_row = spans.where("kind = 0").drop("kind")
-    texts = keys_join(rows.where("not copied").select("rid", "text"), by_row.select("rid"), "rid", "left_semi").join(by_row, "rid")
+    texts = _of_rows(rows.select("rid", "text"), by_row).join(by_row, "rid")
     cut = texts.select("rid", "text", "spans").mapInArrow(_cut, "rid long, removed long, runs long, kept string")
     passages = spans.where("kind = 1").select("rid", "spans").mapInArrow(_covered, "rid long, words long")
     gone = F.col("copied") & (F.col("n_bytes") >= length)
-    return rows.drop("text").join(cut, "rid", "left").join(passages, "rid", "left").select(
+    rows = keys_join(rows.drop("text"), copies, "rid", "left").withColumn("copied", F.col("head").isNotNull())
+    return rows.join(cut, "rid", "left").join(passages, "rid", "left").select(
         "doc_id",
         "n_bytes",
         F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),

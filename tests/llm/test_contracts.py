@@ -592,3 +592,42 @@ def test_shuffled_join_has_one_plan(spark):
     assert joined.count() == 85
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_sieve_lets_every_key_pass(spark, monkeypatch, limit):
+    """By filters of one and two words a key, and by the exact join beyond the limit; what does not pass is the rest."""
+    monkeypatch.setattr(_common, "SIFT_KEYS", limit)
+    rows = spark.range(40_000).select(F.col("id").alias("rid"))
+    keys = _common.table(rows.where("rid % 4 = 0").select(_common.hashed("rid").alias("key")))
+    for filters, most in (1, 900), (2, 60):
+        passed = _common.sifted(rows, "rid", _common.sieve(keys, filters))
+        got = [r["rid"] for r in passed.collect()]
+        assert len(got) == len(set(got)) and set(range(0, 40_000, 4)) <= set(got)
+        assert len(got) - 10_000 <= (most if limit else 0)
+        plan = passed._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan) == bool(limit) and ("SortMergeJoin" in plan) != bool(limit)
+    one = _common.sieve(keys)
+    passed, rest = (bag(_common.sifted(rows, "rid", one, how), "rid") for how in ("left_semi", "left_anti"))
+    assert passed + rest == bag(rows, "rid")
+
+
+def test_suffix_nodes_have_one_plan(spark, monkeypatch):
+    """Nodes meet shared cores without a shuffle and shared hulls by one, however many there are of both."""
+    plans, written = collections.defaultdict(list), suffix_dedup.table
+
+    def spy(df, name="t", *more):
+        plans[name].append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, *more)
+
+    monkeypatch.setattr(suffix_dedup, "table", spy)
+    # rid, core, hull, done: a shared hull, a core shared alone, a core shared by done rows alone, a unique one
+    rows = [(1, 10, 20, False), (2, 10, 20, False), (3, 11, 21, False), (4, 11, 22, True), (5, 12, 23, True), (6, 12, 23, True), (7, 13, 24, False)]
+    nodes = spark.createDataFrame([(r, 0, 5, 0, 9, 0, 9, done, core, hull, hull) for r, core, hull, done in rows], "rid long, kind long, at long, lo long, hi long, x long, y long, done boolean, core long, hull long, hull2 long")
+    for limit in (8 << 20, 0):
+        monkeypatch.setattr(_common, "BROADCAST_BYTES", limit)
+        out = suffix_dedup._judged(nodes).collect()
+        assert {(r["rid"], r["shared"]) for r in out} == {(1, True), (2, True), (3, False), (4, False)}
+        assert sum(r["witness"] for r in out if r["shared"]) == 1 and all(r["witness"] for r in out if not r["shared"])
+    assert all("Exchange hashpartitioning" not in p and "SortMergeJoin" not in p for p in plans["suffix-alive"])
+    assert all("SortMergeJoin" in p for p in plans["suffix-nodes"])
